@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import token_planes
+from tidemark.llm import packing, token_planes
 from tidemark.llm.common import shared_dir, table
 
 
@@ -17,7 +17,12 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_planes(spark, manifest, with_ids=False)
 
 
-QUERIES = {"op1_token_planes": op1_token_planes}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of 2048 ids."""
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
 ORACLE_SQL: dict[str, str] = {}
 
 
