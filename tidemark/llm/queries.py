@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import packing, token_planes
+from tidemark.llm import ann, langid, packing, token_planes
 from tidemark.llm.common import shared_dir, table
 
 
@@ -22,7 +22,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; dictionaries come from the other two folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    dictionaries = langid.learn_dictionaries(spark, docs, ~out)
+    return langid.identify(spark, docs.select("doc_id", "text"), dictionaries).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return ann.search(spark, table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
 ORACLE_SQL: dict[str, str] = {}
 
 
