@@ -124,20 +124,41 @@ def lists_of(x: np.ndarray, c: np.ndarray, edges: np.ndarray, beam: int, ratio:
     return at, ids[at, j]
 
 
+def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: int, recall: float, replicas: int, replica_ratio: float, queries: int = 192) -> tuple[float, int]:
+    """(probe ratio, beam) for which, on the sample itself, brute force's k nearest stand in the probed lists at the rate ``recall``."""
+    at = np.unique(np.linspace(0, len(v) - 1, min(queries, len(v))).astype(int))
+    score = v[at] @ v.T
+    score[np.arange(len(at)), at] = -np.inf
+    m = min(k, len(v) - 1)
+    if m < 1 or len(c) == 1:
+        return 1.0, len(c)
+    top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+    row, own = lists_of(_lifted(v[top.ravel()], norm, False), c, edges, 24, replica_ratio, replicas, True)
+    q = _lifted(v[at], norm, True)
+    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1) - 2 * q @ c.T, 0))
+    ratios = d / np.maximum(d.min(1, keepdims=True), 1e-9)
+    needed = np.full(top.size, np.inf)
+    np.minimum.at(needed, row, ratios[row // m, own])
+    ratio = float(np.quantile(needed, recall))
+    return ratio, int(min(len(c), 1.1 * np.quantile((ratios <= ratio).sum(1), 0.95) + 8))
+
+
 def _lifted(v: np.ndarray, norm: float, query: bool) -> np.ndarray:
     extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(norm**2 - (v**2).sum(1), 0))
     return np.hstack([v, extra[:, None]]).astype(np.float32)
 
 
-def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: int = 20, sample_rows: int = 65_536, list_rows: int = 128, most_lists: int = 16_384, replicas: int = 4, replica_ratio: float = 1.15, probe_ratio: float = 1.6, probes: int = 64, beam: int = 96, block: int = 512) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: int = 20, sample_rows: int = 65_536, list_rows: int = 128, most_lists: int = 16_384, replicas: int = 4, replica_ratio: float = 1.15, recall: float = 0.95, block: int = 512) -> DataFrame:
     """The k nearest of every row whose vec_id ``query_every`` divides: query_id, rank, vec_id, score.
 
     Nearness is the largest inner product. Null vectors, zero ones, those with
     a null or non-finite component and null vec_ids take no part; vectors of
     another length than the most frequent one neither. Ties go to the smaller
     vec_id; a repeated vec_id counts once for each distinct vector. Centroids
-    are fitted on a sample of at most ``sample_rows`` vectors and number at
-    most ``most_lists``, which bounds what is broadcast; all rows are indexed.
+    are fitted on a sample of about ``sample_rows`` vectors and number at most
+    ``most_lists``, which bounds what is broadcast; all rows are indexed. How
+    many lists a query probes follows from the distance ratio alone, which is
+    set on the sample so that ``recall`` of brute force's result is found.
     """
     small_batches(spark)
     clean = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(
@@ -158,10 +179,12 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
     norm = float(norm2) ** 0.5
     share = min(1.0, sample_rows / n)
     sample = reps.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * sample_rows).toPandas()["v"]
-    x = _lifted(np.stack(sample.to_list()), norm, False) if len(sample) else _lifted(np.ones((1, dim)), norm, False)
+    v = np.stack(sample.to_list()) if len(sample) else np.ones((1, dim))
+    x = _lifted(v, norm, False)
     lists = max(1, min(-(-n // list_rows), most_lists, max(len(x) // 4, 1)))
     c = balanced_kmeans(x, lists)
     edges = centroid_graph(c)
+    probe_ratio, beam = calibrate(v, norm, c, edges, k, recall, replicas, replica_ratio)
     model = spark.sparkContext.broadcast((c, edges))  # most_lists centroids at most
 
     def assign(query: bool):
@@ -173,14 +196,15 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
                 flat = batch.column("v").flatten().to_numpy().reshape(-1, dim)
                 for at in range(0, len(flat), 256):
                     part = _lifted(flat[at : at + 256], norm, query)
-                    row, own = lists_of(part, c, edges, beam if query else 24, probe_ratio if query else replica_ratio, probes if query else replicas, not query)
+                    row, own = lists_of(part, c, edges, beam if query else 24, probe_ratio if query else replica_ratio, beam if query else replicas, not query)
                     idx = pa.array(row + at)
                     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(batch.column(i).take(idx) for i in range(batch.num_columns))], names=["list", *batch.schema.names])
 
         return run
 
-    postings = written(spark, reps.select("rep", "v").mapInArrow(assign(False), "list int, rep long, v array<double>"), "postings")
-    probing = queries.select("query_id", "v").mapInArrow(assign(True), "list int, query_id long, v array<double>")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = written(spark, reps.select("rep", "v").repartition(tasks).mapInArrow(assign(False), "list int, rep long, v array<double>"), "postings")
+    probing = queries.select("query_id", "v").repartition(tasks).mapInArrow(assign(True), "list int, query_id long, v array<double>")
 
     def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
         """Blocks of about ``block`` rows of a list, each an array: never a whole list at once."""
