@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, langid, packing, token_planes
+from tidemark.llm import ann, langid, packing, simhash, token_planes
 from tidemark.llm.common import shared_dir, table
 
 
@@ -35,7 +35,13 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, tau=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
 ORACLE_SQL: dict[str, str] = {}
 
 
