@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, langid, packing, simhash, token_planes
+from tidemark.llm import ann, langid, packing, simhash, token_planes, weighted_sampling
 from tidemark.llm.common import shared_dir, table
 
 
@@ -41,7 +41,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    found = weighted_sampling.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES = {"op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
 ORACLE_SQL: dict[str, str] = {}
 
 
