@@ -7,8 +7,8 @@ import importlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, langid, packing, simhash, token_planes, weighted_sampling
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm import ann, langid, mixing, packing, pii, simhash, token_planes, weighted_sampling
+from tidemark.llm.common import shared_dir, table, written
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +47,20 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {"op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
-ORACLE_SQL: dict[str, str] = {}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes."""
+    docs = table(spark, sf_dir, "documents")
+    sized = written(spark, docs.select("doc_id", "source", mixing.words(F.col("text")).alias("words")), "sizes")
+    return mixing.mix(spark, sized, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data pseudonymised."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op7_mixing": op7_mixing, "op10_pii": op10_pii, "op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.oracle()}
 
 
 def queries() -> dict:
