@@ -115,7 +115,7 @@ def kind_of(match: Column) -> Column:
     whole = lambda name: match.rlike(f"^(?:{PATTERNS[name]})$")
     card = whole("card") & F.length(digits).between(13, 19) & (_luhn_sum(digits, 1) % 10 == 0)
     return (
-        F.when(whole("email"), "email").when(whole("date") & F.try_to_date(match, F.lit("yyyy-MM-dd")).isNotNull(), "date").when(whole("ip"), "ip")
+        F.when(whole("email"), "email").when(whole("date") & F.try_to_date(match, "yyyy-MM-dd").isNotNull(), "date").when(whole("ip"), "ip")
         .when(whole("phone"), "phone").when(whole("ssn"), "ssn").when(card, "card").when(whole("secret"), "secret")
     )
 
@@ -125,7 +125,7 @@ def pseudonym(key: str, match: Column, kind: Column) -> Column:
     digits = F.regexp_replace(match, r"\D", "")
     n = F.length(digits)
     # date: days since the first, permuted as 271 * 270 >= DAYS pairs, walked until it is a day again
-    day = F.datediff(F.try_to_date(match, F.lit("yyyy-MM-dd")), F.lit(FIRST_DAY).cast("date"))
+    day = F.datediff(F.try_to_date(match, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
 
     def walk(x: Column) -> Column:
         s = feistel(key, "date", F.floor(x / 271), x % 271, F.lit(270), F.lit(271))
