@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, langid, mixing, packing, pii, simhash, token_planes, weighted_sampling
+from tidemark.llm import ann, langid, mixing, packing, pii, quality, simhash, token_planes, warc, weighted_sampling
 from tidemark.llm.common import shared_dir, table, written
 
 
@@ -59,8 +59,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op7_mixing": op7_mixing, "op10_pii": op10_pii, "op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.oracle()}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to zstandard WARC archives and read back."""
+    archives = warc.write_archives(spark, table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+    return warc.read_archives(spark, archives)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text; labels come from the other three folds."""
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(spark, docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ~out)
+    return quality.classify(spark, docs, model, 0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op8_warc": op8_warc, "op9_quality": op9_quality, "op7_mixing": op7_mixing, "op10_pii": op10_pii, "op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.oracle(), "op8_warc": warc.ORACLE}
 
 
 def queries() -> dict:

@@ -183,7 +183,7 @@ def write_planes(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
                 if writer is None:
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     part = f"{path}.{uuid.uuid4().hex}.part"
-                    out = fs.open_output_stream(part)
+                    out = fs.open_output_stream(part, compression=None)
                     enc = encoder(vocabulary, spaced)
                     writer = PlaneWriter(out, layout)
                 writer.add(doc_id, np.append(enc.encode(text.as_py()), np.array([end_id], enc.dtype)))
