@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,7 +76,9 @@ ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.oracle(), "op8_warc": warc.OR
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return dict(QUERIES) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
