@@ -99,7 +99,8 @@ def allocate(n: int, both: np.ndarray, dealt: list[list[int]], tau: int) -> tupl
     Cost: pairs expected to meet under the keys of a part (bits agree with
     p*p + (1-p)*(1-p)), and a few operations for each key.
     """
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 2)  # an empty table must not make keys look free
+    p = np.diag(both) / n
     agree = p * p + (1 - p) * (1 - p)
     want = tau - len(dealt) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
