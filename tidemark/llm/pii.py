@@ -163,12 +163,12 @@ def pseudonymise(docs: DataFrame, key: str = "tidemark") -> DataFrame:
     """``docs`` with its text pseudonymised, and pii_count, pii_kinds (sorted, without repeats).
 
     A null text stays null with count 0. Whole texts are searched; only rows
-    that have a digit run, an @ or a long token are taken apart. Columns of
+    that have a digit, an @ or a key are taken apart. Columns of
     docs by the new names give way. What fails validation stays as it is.
     """
     kept = docs.drop("pii_count", "pii_kinds")
     found = F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))
-    suspect = F.col("text").rlike(r"[0-9@]")
+    suspect = F.col("text").rlike(r"[0-9@]|(?:AKIA|ASIA)[A-Z0-9]{16}|[0-9a-f]{40}")
     parts = kept.withColumn("_found", F.when(suspect, F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))))
     has = F.exists("_found", lambda x: x["k"].isNotNull())
     fresh = F.transform("_found", lambda x: pseudonym(key, x["m"], x["k"]))
