@@ -175,6 +175,27 @@ def test_near_duplicates(spark, docs, empty):
     assert simhash.near_duplicates(spark, empty).count() == 0
 
 
+def test_similar_groups_against_brute_force(spark, docs, empty):
+    rng = random.Random(11)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(" ".join(words))
+        for cuts in (1, 3) if i % 2 else ():
+            edited = list(words)
+            for at in rng.sample(range(300), cuts):
+                edited[at] = "new"
+            texts.append(" ".join(edited))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for t in texts]
+    want = {}
+    for i, s in enumerate(sets):
+        want[i] = next((want[j] for j in range(i) if len(s & sets[j]) >= 0.8 * len(s | sets[j])), i)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+    assert len(simhash.similar_groups(spark, docs.where("doc_id is not null")).collect()) == len(ROWS) - 1
+    assert simhash.similar_groups(spark, empty).count() == 0
+
+
 def test_weighted_sampling(spark, docs, empty):
     got = weighted_sampling.fingerprint_edits(spark, docs, samples=8, buckets=3).collect()
     assert len(got) == len(ROWS)
