@@ -20,7 +20,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.common import small_batches, written
 from tidemark.llm.components import components
@@ -189,13 +189,14 @@ def _forest(keys: np.ndarray, fps: np.ndarray, most: int, crossing: np.ndarray |
     return np.array(out_a, int), np.array(out_b, int)
 
 
-def links(spark: SparkSession, distinct: DataFrame, tau: int = 3, block: int = 1000, words: int = 1, most: int | None = None) -> DataFrame:
+def links(spark: SparkSession, distinct: DataFrame, tau: int = 3, block: int = 1000, words: int = 1, most: int | None = None, stars: bool = False) -> DataFrame:
     """(a, b): links between the nodes of distinct fingerprints that span every group within ``most`` bits.
 
     ``distinct`` has node (else fp is), fp, fp1, ... With one word, no pair within tau is
     lost from its group; with more, none that is within tau in any word and
     within ``most`` over all. Of the pairs of one key only a spanning forest is
-    emitted. A key of more than ``block`` fingerprints is cut into blocks, and
+    emitted; with ``stars`` each of its nodes with the smallest one it reaches
+    under that key, which is often the same for many keys. A key of more than ``block`` fingerprints is cut into blocks, and
     every two blocks meet in a task of their own.
     """
     names = _names(words)
@@ -227,6 +228,20 @@ def links(spark: SparkSession, distinct: DataFrame, tau: int = 3, block: int = 1
             new[1:] = (h[1:] != h[:-1]) | (within[1:] != within[:-1])
             side = np.where(within, np.arange(len(h)), -1 - own)  # between two blocks only pairs across
             a, b = _forest(np.cumsum(new), np.stack(fps, 1).view(np.uint64), most, side)
+            if stars:
+                least = node.copy()
+                to = np.arange(len(node))
+                for i, j in zip(a.tolist(), b.tolist()):
+                    while to[i] != i:
+                        i = to[i]
+                    while to[j] != j:
+                        j = to[j]
+                    to[j] = i
+                    least[i] = min(least[i], least[j])
+                while (to[to] != to).any():
+                    to = to[to]
+                far = np.flatnonzero(least[to] != node)
+                return pa.RecordBatch.from_arrays([pa.array(least[to[far]]), pa.array(node[far])], names=["a", "b"])
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         held = 0
@@ -250,6 +265,16 @@ def links(spark: SparkSession, distinct: DataFrame, tau: int = 3, block: int = 1
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
+def contracted(stars: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that join the same nodes: all smaller neighbours of b move to the smallest of them.
+
+    Stars give b one smaller neighbour for each key and pair of blocks at
+    most, so no window holds more; many links become the same one.
+    """
+    least = F.min("a").over(Window.partitionBy("b"))
+    return stars.withColumn("m", least).select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links of at most tau bits reach.
 
@@ -278,6 +303,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, words
     names = _names(words)
     own = written(spark, fingerprints(spark, docs, shingle, words), "fingerprints")
     distinct = written(spark, own.groupBy(*names).agg(F.min("doc_id").alias("node")), "distinct")
-    nodes = components(spark, written(spark, links(spark, distinct, tau, words=words, most=most), "near"))
+    near = written(spark, links(spark, distinct, tau, words=words, most=most, stars=True), "near")
+    nodes = components(spark, written(spark, contracted(contracted(near)), "contracted"))
     rooted = distinct.join(nodes, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
     return own.join(rooted, names).select("doc_id", "component_id")
