@@ -214,7 +214,27 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
 
     pairs = blocks(written(spark, probing, "probes"), "query_id", "q").join(blocks(postings, "rep", "p"), "list")
 
+    def best_of(query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Each query's k + 1 best of the rows, repeats once."""
+        order = np.lexsort((rep, -score, query))
+        query, rep, score = query[order], rep[order], score[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (rep[1:] != rep[:-1]) | (score[1:] != score[:-1])
+        query, rep, score = query[new], rep[new], score[new]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) <= k
+        return query[keep], rep[keep], score[keep]
+
     def scan(batches):
+        """Scores of pairs of blocks; a task thins its hits per query before they are shuffled, and never holds more than a bounded number."""
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def thinned():
+            return best_of(*(np.concatenate(c) for c in zip(*held)))
+
+        def out(hits):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in hits], names=["query_id", "rep", "score"])
+
         for batch in batches:
             for q, p in zip(batch.column("q"), batch.column("p")):
                 q, p = q.values, p.values
@@ -225,12 +245,16 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
                 top = np.argpartition(-rough, m - 1, axis=1)[:, :m]
                 floor = np.take_along_axis(rough, top, 1).min(1) - 1e-9
                 row, col = np.nonzero(rough >= floor[:, None])  # with all that tie at the edge
-                score = (qv[row] * pv[col]).sum(1)
-                order = np.lexsort((pi[col], -score, row))
-                row, col, score = row[order], col[order], score[order]
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = nth <= k
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row[keep]]), pa.array(pi[col[keep]]), pa.array(score[keep])], names=["query_id", "rep", "score"])
+                held.append(best_of(qi[row], pi[col], (qv[row] * pv[col]).sum(1)))
+                rows += len(held[-1][0])
+                if rows > 1 << 20:
+                    held = [thinned()]
+                    rows = len(held[0][0])
+                    if rows > 1 << 19:  # so many queries: what stands so far goes on
+                        yield out(held[0])
+                        held, rows = [], 0
+        if held:
+            yield out(thinned())
 
     hits = pairs.select("q", "p").mapInArrow(scan, "query_id long, rep long, score double").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
