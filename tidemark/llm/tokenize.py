@@ -16,6 +16,28 @@ import regex
 _WS = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"[^{_WS}]+")
 _SPACED = regex.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: White space to str.split, but not to the pre-tokenizers.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: White space but space and line feed.
+_RARE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in (" ", "\n", *_SEPARATORS))
+
+
+
+def cut_words(text: str) -> list[str]:
+    """Runs without white space; str.split where it cuts alike, for it takes a fraction of the time."""
+    return _WORDS.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
+
+
+def cut_spaced(text: str) -> list[str]:
+    """Pieces that hold all of the text. Where no run of white space has a space that does not end it,
+    str.split cuts before each space as the pattern does, and only words with line feeds are left to it."""
+    if "  " in text or " \n" in text or text[:1].isspace() or text[-1:] == " " or any(c in text for c in _RARE):
+        return _SPACED.findall(text)
+    first, *others = text.split(" ")
+    pieces = [first, *[" " + p for p in others]] if first else []
+    if "\n" in text:
+        return [q for p in pieces for q in (_SPACED.findall(p) if "\n" in p else (p,))]
+    return pieces
 
 
 class Encoder:
@@ -30,7 +52,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = (_SPACED if spaced else _WORDS).findall
+        self.cut = cut_spaced if spaced else cut_words
         self.remembered = remembered
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         # a character that stands between pieces and whose one id no other character gives
