@@ -309,3 +309,6 @@ def route_queries(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     has = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNotNull()
     return c.select("conv_id", "turn", T.follow_up(F.col("text"), has).alias("follow_up"), T.route(F.col("text")).alias("route"))
+
+
+from tidemark.plans import evidence as _evidence  # noqa: E402, F401  (registers its queries here)
