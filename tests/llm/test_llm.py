@@ -283,3 +283,16 @@ def test_pipeline_stages(spark, docs, empty):
             assert d.columns == list(corpus_pipeline.COLUMNS)
             d = spark.createDataFrame(d.collect(), SCHEMA)
         assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() >= 0
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_cuts_give_the_librarys_ids(name, spaced):
+    from tidemark.llm.tokenize import Encoder
+
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain.encode_special_tokens = True
+    enc, rnd = Encoder(public_tokenizers.path(name), spaced, remembered=300), random.Random(3)
+    marks = ["a", "word", "'s", "7", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "\x1c", "\xa0", "　", "\x85", "​", "<|endoftext|>", "图", "\x01"]
+    for n in range(3000):
+        text = "".join(rnd.choice(marks[: 5 if n % 3 else None]) for _ in range(n % 14))
+        assert list(enc.encode(text)) == plain.encode(text, add_special_tokens=False).ids, repr(text)
