@@ -268,6 +268,21 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(docs).count() == len(ROWS) and pii.pseudonymise(empty).count() == 0
 
 
+def test_phones_of_any_area(spark):
+    forms = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+44 171 055 2028", "(199) 155-0000", "(000) 000-0000", "+1 (212) 555-0199", "(212) 555-0199", "212-555-0199", "+1 (212) 155-0199"]
+    rows = [(i, f"Call {x}, now.") for i, x in enumerate(forms)] + [(90, "012-345-6789"), (91, "212-055-0199")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].pii_kinds for i in range(len(forms))] == ["phone"] * len(forms) and got[90].pii_count == got[91].pii_count == 0
+    blank = lambda t: "".join("9" if c.isdigit() else c for c in t)
+    assert all(got[i].text != t and blank(got[i].text) == blank(t) for i, t in rows[: len(forms)])
+    tens = ["".join(c for c in got[i].text if c.isdigit())[-10:] for i in range(len(forms))]
+    usual = [int(t[0]) > 1 and int(t[3]) > 1 for t in tens]
+    assert usual == [False] * 5 + [True] * 3 + [False] and len(set(tens[5:8])) == 1
+    many = [f"({a:03}) {e:03}-{k:04}" for a in (0, 1, 199, 200, 201, 999) for e in (0, 1, 199, 200, 999) for k in (0, 1, 9999)]
+    found = pii.pseudonymise(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")).collect()
+    assert all(r.pii_count == 1 and len(r.text) == 14 for r in found) and len({r.text for r in found}) == len(many)
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(1000).select(pii.feistel("k", "t", F.floor(F.col("id") / 40), F.col("id") % 40, F.lit(25), F.lit(40)).alias("s")).distinct()
     assert n.count() == 1000 and n.where("s.l >= 25 OR s.r >= 40 OR s.l < 0").count() == 0

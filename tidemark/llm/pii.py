@@ -8,6 +8,8 @@ passes the Luhn test, an address has octets up to 255, a date is a date).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # What is looked for, one pattern for each kind, in order of preference.
@@ -15,7 +17,8 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "date": r"(?<![\d\-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d\-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?!\d)",
+    # any digits after a country code or in brackets; bare numbers have area and exchange from 200 on
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{3}\) ?|\d{3}[ .\-])|\(\d{3}\) ?|[2-9]\d{2}[ .\-](?=[2-9]))\d{3}[ .\-]\d{4}(?!\d)",
     "ssn": r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])[2-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\d\-])",
     "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b[0-9a-f]{40}\b|\b[0-9a-f]{64}\b",
@@ -71,6 +74,34 @@ def _luhn_sum(digits: Column, odd: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _phone(key: str, ten: Column) -> Column:
+    """Permutes ten digits of a phone number.
+
+    Those with area and exchange from 200 on are permuted among themselves
+    (800 areas of 8,000,000 lines), and so are all others: 200 areas of
+    10,000,000 lines, then 800 of 2,000,000, numbered through.
+    """
+    area, line = F.substring(ten, 1, 3).cast("long"), F.substring(ten, 4, 7).cast("long")
+    usual = (area >= 200) & (line >= 2_000_000)
+    million = F.lit(1_000_000).cast("long")
+    nth = F.when(area < 200, area * 10_000_000 + line).otherwise((area - 200) * 2_000_000 + line + 2_000_000_000)
+    left = F.when(usual, area - 200).otherwise(F.floor(nth / million))
+    right = F.when(usual, line - 2_000_000).otherwise(nth % million)
+    digits = lambda area, line: F.concat(F.lpad(area.cast("string"), 3, "0"), F.lpad(line.cast("string"), 7, "0"))
+
+    def other(nth: Column) -> Column:
+        rest = nth - 2_000_000_000
+        return F.when(rest < 0, digits(F.floor(nth / 10_000_000), nth % 10_000_000)).otherwise(digits(F.floor(rest / 2_000_000) + 200, rest % 2_000_000))
+
+    s = feistel(key, "phone", left, right, F.when(usual, 800).otherwise(3600), F.when(usual, 8_000_000).otherwise(million))
+    return _let(s, lambda p: F.when(usual, digits(p["l"] + 200, p["r"] + 2_000_000)).otherwise(other(p["l"] * million + p["r"])))
+
+
 def _alike(key: str, text: Column) -> Column:
     """Permutes letters and digits within their own alphabets, halves against each other; other characters stay."""
     n = F.length(text)
@@ -141,11 +172,8 @@ def pseudonym(key: str, match: Column, kind: Column) -> Column:
     ip = F.concat_ws(".", *[x.cast("string") for x in (F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256)])
     body = F.concat(F.substring(digits, 1, 1), _digits(key, "card", F.substring(digits, F.lit(2), n - 2)))
     card = _refill(match, F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string")))
-    # phone: the last ten digits NXXNXXXXXX, N from 2 to 9
-    ten = F.substring(digits, n - 9, F.lit(10))
-    area, line = F.substring(ten, 1, 3).cast("long") - 200, F.substring(ten, 4, 7).cast("long") - 2_000_000
-    p = feistel(key, "phone", area, line, F.lit(800), F.lit(8_000_000))
-    phone = _refill(match, F.concat(F.substring(digits, F.lit(1), n - 10), (p["l"] + 200).cast("string"), (p["r"] + 2_000_000).cast("string")))
+    moved_phone = F.concat(F.substring(digits, F.lit(1), n - 10), _let(F.substring(digits, n - 9, F.lit(10)), lambda ten: _phone(key, ten)))
+    phone = _let(moved_phone, lambda d: _refill(match, d))
     a, b, c = (F.substring(digits, *x).cast("long") for x in ((1, 3), (4, 2), (6, 4)))
     areas = 899 - 1  # 001 to 899 without 666
     q = feistel(key, "ssn", F.when(a > 666, a - 2).otherwise(a - 1), (b - 1) * 9999 + c - 1, F.lit(areas), F.lit(99 * 9999))
