@@ -105,3 +105,10 @@ def test_guard_bounds(spark):
 @pytest.mark.parametrize("name", ["bm25_topk", "table_compare", "sql_windows", "sectionize", "percentile_nearest", "ingest_available_now"])
 def test_queries_run(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() >= 0
+
+
+def test_equal_labels_meet_beyond_the_window(spark):
+    labels = {i: "ab same" if i % 3 else f"ab other {i % 2}" for i in range(60)} | {90: None, 91: None}
+    got = [tuple(r) for r in graph.blocking_pairs(spark.createDataFrame(list(labels.items()), "id long, label string"), window=2).collect()]
+    want = {(x, y) for x in labels for y in labels if x < y and labels[x] is not None and labels[x] == labels[y]}
+    assert len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 2 * 60

@@ -47,8 +47,8 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int = 2, **caps) -> DataFrame
     return every
 
 
-def blocking_pairs(entities: DataFrame, window: int = 16, prefix: int = 2) -> DataFrame:
-    """(a, b), a < b: entities of equal label, or within ``window`` places in their prefix's order of labels.
+def prefix_pairs(entities: DataFrame, window: int = 16, prefix: int = 2) -> DataFrame:
+    """(a, b), a < b: entities within ``window`` places in their prefix's order of labels.
 
     The places of a prefix are numbered once; a pair meets where one place is
     at most ``window`` after the other, by an equi-join on shifted places.
@@ -60,6 +60,13 @@ def blocking_pairs(entities: DataFrame, window: int = 16, prefix: int = 2) -> Da
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def blocking_pairs(entities: DataFrame, window: int = 16, prefix: int = 2) -> DataFrame:
+    """(a, b), a < b: all entities of equal label, however many have it, and those of ``prefix_pairs``."""
+    left, right = entities.select(F.col("id").alias("a"), "label"), entities.select(F.col("id").alias("b"), "label")
+    same = left.join(right, "label").where("a < b").select("a", "b")
+    return same.union(prefix_pairs(entities, window, prefix)).distinct()
+
+
 def decide(pairs: DataFrame, entities: DataFrame, least: float = 0.72) -> DataFrame:
     """NO_LINK for other types or little likeness, else UNCERTAIN; never a link by itself."""
     own = lambda s: entities.select(F.col("id").alias(s), F.col("label").alias(f"{s}_label"), F.col("type").alias(f"{s}_type"))

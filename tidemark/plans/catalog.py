@@ -218,6 +218,13 @@ def graph_orphans(spark, sf_dir):
 @query("""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS label, row_number() OVER (PARTITION BY substr(lower(p_name), 1, 2) ORDER BY lower(p_name), p_partkey) AS at, substr(lower(p_name), 1, 2) AS p FROM part)
 SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM p x JOIN p y ON x.p = y.p AND y.at > x.at AND y.at <= x.at + 16""")
 def blocking_pairs(spark, sf_dir):
+    return graph.prefix_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label")))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS label, row_number() OVER (PARTITION BY substr(lower(p_name), 1, 2) ORDER BY lower(p_name), p_partkey) AS at, substr(lower(p_name), 1, 2) AS p FROM part)
+SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM p x JOIN p y ON x.p = y.p AND y.at > x.at AND y.at <= x.at + 16
+UNION SELECT x.id, y.id FROM p x JOIN p y ON x.label = y.label AND x.id < y.id""")
+def linking_pairs(spark, sf_dir):
     return graph.blocking_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label")))
 
 
