@@ -124,6 +124,23 @@ def test_neighbours_against_brute_force(spark):
     assert ann.search(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_finds_neighbours_of_short_queries(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 32))[rng.integers(0, 60, 3000)] + 0.35 * rng.normal(size=(3000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[::25] /= 20  # 4 % of the vectors are short
+    got = ann.search(spark, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), query_every=5, k=10, list_rows=32).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    score = v[::5] @ v.T
+    score[np.arange(600), np.arange(0, 3000, 5)] = -np.inf
+    rate = np.array([len(found.get(5 * i, set()) & set(np.argsort(-s)[:10].tolist())) / 10 for i, s in enumerate(score)])
+    short = np.arange(0, 3000, 5) % 25 == 0
+    assert rate[short].mean() >= 0.9 and rate[~short].mean() >= 0.9, (rate[short].mean(), rate[~short].mean())
+
+
+
 def test_fingerprint_by_hand():
     t = "A b\x0bC d  é"
     shingles = ["a b c", "b c d", "c d é"]

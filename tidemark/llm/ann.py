@@ -124,14 +124,20 @@ def lists_of(x: np.ndarray, c: np.ndarray, edges: np.ndarray, beam: int, ratio:
     return at, ids[at, j]
 
 
-def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: int, recall: float, replicas: int, replica_ratio: float, queries: int = 192) -> tuple[float, int]:
-    """(probe ratio, beam) for which, on the sample itself, brute force's k nearest stand in the probed lists at the rate ``recall``."""
+def probes(q: np.ndarray, c: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: all lists whose distance is at most ``ratio`` times the nearest one's."""
+    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1) - 2 * q @ c.T, 0))
+    return np.nonzero(d <= ratio * d.min(1, keepdims=True) + 1e-6)
+
+
+def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: int, recall: float, replicas: int, replica_ratio: float, queries: int = 192) -> float:
+    """Probe ratio for which, on the sample itself, as many queries as ``recall`` says find that share of brute force's k nearest in the probed lists."""
     at = np.unique(np.linspace(0, len(v) - 1, min(queries, len(v))).astype(int))
     score = v[at] @ v.T
     score[np.arange(len(at)), at] = -np.inf
     m = min(k, len(v) - 1)
     if m < 1 or len(c) == 1:
-        return 1.0, len(c)
+        return 1.0
     top = np.argpartition(-score, m - 1, axis=1)[:, :m]
     row, own = lists_of(_lifted(v[top.ravel()], norm, False), c, edges, 24, replica_ratio, replicas, True)
     q = _lifted(v[at], norm, True)
@@ -139,13 +145,16 @@ def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: i
     ratios = d / np.maximum(d.min(1, keepdims=True), 1e-9)
     needed = np.full(top.size, np.inf)
     np.minimum.at(needed, row, ratios[row // m, own])
-    ratio = float(np.quantile(needed, recall))
-    return ratio, int(min(len(c), 1.1 * np.quantile((ratios <= ratio).sum(1), 0.95) + 8))
+    by_query = np.quantile(needed.reshape(-1, m), recall, axis=1, method="higher")
+    return float(np.quantile(by_query, recall, method="higher"))
 
 
 def _lifted(v: np.ndarray, norm: float, query: bool) -> np.ndarray:
-    extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(norm**2 - (v**2).sum(1), 0))
-    return np.hstack([v, extra[:, None]]).astype(np.float32)
+    """Rows with one component more, all of length ``norm``. A query gets a 0 there and is scaled, which leaves its order of inner products as it is."""
+    length = np.sqrt((v**2).sum(1))
+    if query:
+        return np.hstack([v * (norm / length)[:, None], np.zeros((len(v), 1))]).astype(np.float32)
+    return np.hstack([v, np.sqrt(np.maximum(norm**2 - length**2, 0))[:, None]]).astype(np.float32)
 
 
 def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: int = 20, sample_rows: int = 65_536, list_rows: int = 128, most_lists: int = 16_384, replicas: int = 4, replica_ratio: float = 1.15, recall: float = 0.95, block: int = 512) -> DataFrame:
@@ -158,7 +167,8 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
     are fitted on a sample of about ``sample_rows`` vectors and number at most
     ``most_lists``, which bounds what is broadcast; all rows are indexed. How
     many lists a query probes follows from the distance ratio alone, which is
-    set on the sample so that ``recall`` of brute force's result is found.
+    set on the sample query by query, so that ``recall`` of the queries find
+    ``recall`` of brute force's result.
     """
     small_batches(spark)
     clean = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(
@@ -184,7 +194,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
     lists = max(1, min(-(-n // list_rows), most_lists, max(len(x) // 4, 1)))
     c = balanced_kmeans(x, lists)
     edges = centroid_graph(c)
-    probe_ratio, beam = calibrate(v, norm, c, edges, k, recall, replicas, replica_ratio)
+    probe_ratio = calibrate(v, norm, c, edges, k, recall, replicas, replica_ratio)
     model = spark.sparkContext.broadcast((c, edges))  # most_lists centroids at most
 
     def assign(query: bool):
@@ -196,7 +206,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
                 flat = batch.column("v").flatten().to_numpy().reshape(-1, dim)
                 for at in range(0, len(flat), 256):
                     part = _lifted(flat[at : at + 256], norm, query)
-                    row, own = lists_of(part, c, edges, beam if query else 24, probe_ratio if query else replica_ratio, beam if query else replicas, not query)
+                    row, own = probes(part, c, probe_ratio) if query else lists_of(part, c, edges, 24, replica_ratio, replicas, True)
                     idx = pa.array(row + at)
                     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(batch.column(i).take(idx) for i in range(batch.num_columns))], names=["list", *batch.schema.names])
 
