@@ -124,29 +124,30 @@ def lists_of(x: np.ndarray, c: np.ndarray, edges: np.ndarray, beam: int, ratio:
     return at, ids[at, j]
 
 
-def probes(q: np.ndarray, c: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: all lists whose distance is at most ``ratio`` times the nearest one's."""
+def probes(q: np.ndarray, c: np.ndarray, ratio: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: all lists whose distance is at most ``ratio`` times the nearest one's, or ``least`` where a query all but stands on a centroid."""
     d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1) - 2 * q @ c.T, 0))
-    return np.nonzero(d <= ratio * d.min(1, keepdims=True) + 1e-6)
+    return np.nonzero(d <= ratio * np.maximum(d.min(1, keepdims=True), least) + 1e-6)
 
 
-def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: int, recall: float, replicas: int, replica_ratio: float, queries: int = 192) -> float:
-    """Probe ratio for which, on the sample itself, as many queries as ``recall`` says find that share of brute force's k nearest in the probed lists."""
+def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: int, recall: float, replicas: int, replica_ratio: float, queries: int = 192) -> tuple[float, float]:
+    """(probe ratio, median distance of the nearest list) for which, on the sample itself, as many queries as ``recall`` says find that share of brute force's k nearest in the probed lists."""
     at = np.unique(np.linspace(0, len(v) - 1, min(queries, len(v))).astype(int))
     score = v[at] @ v.T
     score[np.arange(len(at)), at] = -np.inf
     m = min(k, len(v) - 1)
     if m < 1 or len(c) == 1:
-        return 1.0
+        return 1.0, 0.0
     top = np.argpartition(-score, m - 1, axis=1)[:, :m]
     row, own = lists_of(_lifted(v[top.ravel()], norm, False), c, edges, 24, replica_ratio, replicas, True)
     q = _lifted(v[at], norm, True)
     d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1) - 2 * q @ c.T, 0))
-    ratios = d / np.maximum(d.min(1, keepdims=True), 1e-9)
+    least = float(np.median(d.min(1)))
+    ratios = d / np.maximum(d.min(1, keepdims=True), max(least, 1e-9))
     needed = np.full(top.size, np.inf)
     np.minimum.at(needed, row, ratios[row // m, own])
     by_query = np.quantile(needed.reshape(-1, m), recall, axis=1, method="higher")
-    return float(np.quantile(by_query, recall, method="higher"))
+    return float(np.quantile(by_query, recall, method="higher")), least
 
 
 def _lifted(v: np.ndarray, norm: float, query: bool) -> np.ndarray:
@@ -194,7 +195,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
     lists = max(1, min(-(-n // list_rows), most_lists, max(len(x) // 4, 1)))
     c = balanced_kmeans(x, lists)
     edges = centroid_graph(c)
-    probe_ratio = calibrate(v, norm, c, edges, k, recall, replicas, replica_ratio)
+    probe_ratio, least = calibrate(v, norm, c, edges, k, recall, replicas, replica_ratio)
     model = spark.sparkContext.broadcast((c, edges))  # most_lists centroids at most
 
     def assign(query: bool):
@@ -206,7 +207,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
                 flat = batch.column("v").flatten().to_numpy().reshape(-1, dim)
                 for at in range(0, len(flat), 256):
                     part = _lifted(flat[at : at + 256], norm, query)
-                    row, own = probes(part, c, probe_ratio) if query else lists_of(part, c, edges, 24, replica_ratio, replicas, True)
+                    row, own = probes(part, c, probe_ratio, least) if query else lists_of(part, c, edges, 24, replica_ratio, replicas, True)
                     idx = pa.array(row + at)
                     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(batch.column(i).take(idx) for i in range(batch.num_columns))], names=["list", *batch.schema.names])
 
