@@ -3,46 +3,26 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
-import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from tidemark.sources.tables import shared_dir, table, written
 
-__all__ = ["arrow_rows", "open_fs", "shared_dir", "small_batches", "table", "text_pieces", "written"]
+__all__ = ["open_fs", "shared_dir", "small_batches", "table", "written"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds an Arrow batch: documents are long, the default of 10,000 rows is not for them."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 1 << 24) -> None:
+    """Bounds an Arrow batch by rows and bytes: documents are long, the default of 10,000 rows is not for them.
+
+    Spark has no such setting for one plan, so the session's is lowered; never raised.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        own = int(spark.conf.get(name).rstrip("bB"))
+        if own > most or own <= 0:
+            spark.conf.set(name, str(most))
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; a bare path is a local one."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
-
-
-def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
-def text_pieces(texts: pa.Array, most_chars: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of a column's texts of about ``most_chars`` characters, each with its first row."""
-    at, held, chars = 0, [], 0
-    for i, v in enumerate(texts):
-        t = v.as_py()
-        held.append(t)
-        chars += len(t or "")
-        if chars >= most_chars:
-            yield at, held
-            at, held, chars = i + 1, [], 0
-    if held:
-        yield at, held
-
-
-def only(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*names)

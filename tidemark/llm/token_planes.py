@@ -17,7 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import open_fs, shared_dir, small_batches
-from tidemark.llm.tokenize import encoder
+from tidemark.llm.tokenize import encoder, release
 
 MAGIC = b"TMPLANE1"
 _FOOTER = struct.Struct("<QQQII8s")
@@ -33,10 +33,10 @@ _FOOTER = struct.Struct("<QQQII8s")
 
 @dataclass(frozen=True)
 class Layout:
-    """``plane``: "byte" or "bit"; ``width``: bytes of an id; ``block``: ids of a chunk."""
+    """``plane``: "byte" or "bit"; ``width``: bytes of an id (0: as many as the vocabulary needs); ``block``: ids of a chunk."""
 
     plane: str = "byte"
-    width: int = 2
+    width: int = 0
     block: int = 1 << 16
     level: int = 3
 
@@ -63,6 +63,8 @@ class PlaneWriter:
     """Writes one file, chunk by chunk: it holds a block of ids and the indexes."""
 
     def __init__(self, out, layout: Layout):
+        if layout.width not in (1, 2, 4, 8):
+            raise ValueError("the layout's width must be 1, 2, 4 or 8 bytes")
         self.out, self.layout = out, layout
         self.zip = zstandard.ZstdCompressor(level=layout.level)
         self.held: list[np.ndarray] = []
@@ -73,6 +75,8 @@ class PlaneWriter:
         self.lengths: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and (int(ids.max()) >> 8 * self.layout.width or int(ids.min()) < 0):
+            raise ValueError(f"an id does not fit {self.layout.width} bytes")
         self.doc_ids.append(doc_id)
         self.lengths.append(len(ids))
         self.n_ids += len(ids)
@@ -163,6 +167,8 @@ def write_planes(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
 
     Nulls: a null text is an empty one; null doc_ids come first. Equal doc_ids
     are ordered by text, equal rows all stay. An empty table gives no file.
+    Very long texts are encoded a piece at a time; extra columns are not read.
+    Strings of special tokens give their ids, as in the library's plain call.
     Files are moved to their final name when complete, so a task that runs
     twice leaves the same file. Returns the manifest: shard, path, n_docs,
     n_ids and start (ids of all documents before the shard).
@@ -179,14 +185,18 @@ def write_planes(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
         fs, path = open_fs(name)
         writer = part = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    part = f"{path}.{uuid.uuid4().hex}.part"
-                    out = fs.open_output_stream(part, compression=None)
-                    enc = encoder(vocabulary, spaced)
-                    writer = PlaneWriter(out, layout)
-                writer.add(doc_id, np.append(enc.encode(text.as_py()), np.array([end_id], enc.dtype)))
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                out = fs.open_output_stream(part, compression=None)
+                enc = encoder(vocabulary, spaced)
+                writer = PlaneWriter(out, replace(layout, width=layout.width or enc.dtype.itemsize))
+                end = np.array([end_id], enc.dtype)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_each(batch.column(1))):
+                writer.add(doc_id, np.append(ids, end))
+        release()
         if writer is not None:
             writer.close()
             out.close()
@@ -201,8 +211,12 @@ def write_planes(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
     return spark.createDataFrame(rows, "shard long, path string, n_docs long, n_ids long, start long")
 
 
-def read_planes(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
-    """Documents of the files of a manifest: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
+def read_planes(spark: SparkSession, manifest: DataFrame, with_ids: bool = True, ids_per_task: int = 1 << 24) -> DataFrame:
+    """Documents of the files of a manifest: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids.
+
+    A task reads files one after another, of about ``ids_per_task`` ids in all;
+    it holds a chunk and a document at a time.
+    """
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
@@ -222,8 +236,8 @@ def read_planes(spark: SparkSession, manifest: DataFrame, with_ids: bool = True)
                             rows, held = [], 0
                     yield _batch(rows, schema)
 
-    n = max(manifest.count(), 1)
-    return manifest.select("shard", "path", "start").repartitionByRange(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    total = manifest.agg(F.sum("n_ids")).first()[0] or 0
+    return manifest.select("shard", "path", "start").repartitionByRange(max(-(-total // ids_per_task), 1), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
