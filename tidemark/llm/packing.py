@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.common import shared_dir, small_batches
-from tidemark.llm.tokenize import encoder
+from tidemark.llm.tokenize import encoder, release
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 
@@ -203,10 +203,11 @@ def cut_pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, spaced: bo
         from pyspark import TaskContext
 
         part, seen, enc = TaskContext.get().partitionId(), defaultdict(int), encoder(vocabulary, spaced)
+        end = np.array([end_id], enc.dtype)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(enc.encode(text.as_py()), np.array([end_id], enc.dtype)).astype("<u4")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_each(batch.column(1))):
+                ids = np.append(ids, end).astype("<u4")
                 at, piece = 0, 0
                 while at < len(ids):
                     n = (len(ids) - at) % capacity or capacity
@@ -217,6 +218,7 @@ def cut_pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, spaced: bo
                     at, piece = at + n, piece + 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        release()
 
     found = docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids)
     path = shared_dir(spark, "pieces")
@@ -225,7 +227,12 @@ def cut_pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, spaced: bo
 
 
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
-    """Gives each piece its sequence_id and offset. An empty table stays empty."""
+    """Gives each piece its sequence_id and offset. An empty table stays empty.
+
+    Pieces of one length are alike to the plan: which of them goes where
+    follows from part and nth, so ties are settled by the order of the input,
+    and repeated rows are pieces of their own. Columns besides stay as they are.
+    """
     counts = pieces.groupBy("part", "length").count()
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     found, base = defaultdict(list), 0
