@@ -3,9 +3,12 @@
 import hashlib
 import io
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -34,7 +37,6 @@ def empty(spark):
 def test_pieces_give_the_ids_of_the_text(name, spaced):
     enc, rng = Encoder(public_tokenizers.path(name), spaced, remembered=50), random.Random(3)
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     texts = ["", "\n\n a  b\t", "it's 1,2\x1c\x85z", "a\x01b \x01", "é ́x", "<|endoftext|>"] + ["".join(rng.choice(" \n\tab's1,é\x01İ中.") for _ in range(40)) for _ in range(200)]
     for t in texts:
         assert enc.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
@@ -61,6 +63,42 @@ def test_planes_round_trip(plane, width):
         token_planes.PlaneReader(Source(raw[:-1]))
 
 
+def test_ids_that_do_not_fit_are_refused():
+    w = token_planes.PlaneWriter(io.BytesIO(), token_planes.Layout("byte", 2))
+    with pytest.raises(ValueError):
+        w.add(1, np.array([70_000], "<u4"))
+
+
+def test_long_texts_and_groups_give_the_librarys_ids(spark):
+    texts = ["word, another.  " * 3000, None, "x" * 9000, "a\n\n\nb " * 999, "<|endoftext|> y " * 50, "", "İ ΣΑΣ été. " * 500]
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        want = [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        for group, remembered in ((100, 10), (1 << 12, 200), (1 << 22, 500_000)):
+            enc = Encoder(public_tokenizers.path(name), spaced, remembered=remembered, group=group)
+            assert [x.tolist() for x in enc.encode_each(pa.array(texts, pa.string()))] == want
+        text = Encoder(public_tokenizers.path(name), spaced, specials_as_text=True)
+        plain.encode_special_tokens = True
+        assert text.encode("a<|endoftext|>b").tolist() == plain.encode("a<|endoftext|>b", add_special_tokens=False).ids
+
+
+def test_packed_pieces_against_brute_force(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "text").collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for r, e in zip(rows, plain.encode_batch([r.text or "" for r in rows], add_special_tokens=False)):
+        ids = np.array([*e.ids, 0], "<u4")
+        bounds = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want |= {(r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))}
+    got = packing.pack_documents(spark, table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 2048 and len(filled) <= 1.02 * sum(filled.values()) / 2048 + 2
+
+
 def test_written_planes(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     m = token_planes.write_planes(spark, docs, shared_dir(spark, "t"), path, False, 1)
@@ -213,16 +251,44 @@ def test_similar_groups_against_brute_force(spark, docs, empty):
     assert simhash.similar_groups(spark, empty).count() == 0
 
 
+def _edit(text, following):
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+def _jaccard(a, b):
+    bags = [Counter(w for w in re.split(r"[\x20\x09-\x0D]+", t) if w) or Counter([None]) for t in (a, b)]
+    every = set(bags[0]) | set(bags[1])
+    return sum(min(x[k] for x in bags) for k in every) / sum(max(x[k] for x in bags) for k in every)
+
+
 def test_weighted_sampling(spark, docs, empty):
     got = weighted_sampling.fingerprint_edits(spark, docs, samples=8, buckets=3).collect()
     assert len(got) == len(ROWS)
     order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    want = sorted((r[0] or -1, len(r[1] or ""), (r[1] or "")[: len(r[1] or "") - len(r[1] or "") // 2] + (nxt[1] or "")[: len(r[1] or "") // 2]) for r, nxt in zip(order, order[1:] + order[:1]))
-    assert sorted((r.doc_id or -1, r.n_chars, r.edited) for r in got) == want
+    want = sorted((r[0] or -1, len(r[1] or ""), hashlib.sha256(_edit(r[1] or "", nxt[1] or "").encode()).hexdigest()) for r, nxt in zip(order, order[1:] + order[:1]))
+    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256) for r in got) == want
     assert len({r.fingerprint for r in got if r.doc_id in (1, 5)}) == 1 and len({r.fingerprint for r in got if r.doc_id in (2, 3, 8)}) == 1
     assert weighted_sampling.fingerprint_edits(spark, empty, samples=4, buckets=2).count() == 0
 
 
+def test_fingerprints_against_exact_similarity(spark, sf):
+    rows = sorted([(r.doc_id, r.text or "") for r in table(spark, sf, "documents").collect()], reverse=True)
+    got = {r.doc_id: r for r in weighted_sampling.fingerprint_edits(spark, table(spark, sf, "documents")).collect()}
+    off_edit, off_next = [], []
+    for (i, text), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        edited = _edit(text, nxt)
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        off_edit.append(got[i].near_edited - _jaccard(text, edited))
+        off_next.append(got[i].near_next - _jaccard(text, nxt))
+    for off in map(np.array, (off_edit, off_next)):
+        assert abs(off).mean() < 0.055 and abs(off.mean()) < 0.015
+    prints = {}
+    for i, text in rows:
+        prints.setdefault(text, set()).add(got[i].fingerprint)
+    assert all(len(p) == 1 for p in prints.values())
+
+
 def test_sampling_estimates_generalised_jaccard(spark):
     sets = {0: {1: 3, 2: 1, 3: 2}, 1: {1: 1, 2: 1, 4: 2}}
     rows = [(k, t) for k, s in sets.items() for t, n in s.items() for _ in range(n)]
@@ -322,7 +388,6 @@ def test_cuts_give_the_librarys_ids(name, spaced):
     from tidemark.llm.tokenize import Encoder
 
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     enc, rnd = Encoder(public_tokenizers.path(name), spaced, remembered=300), random.Random(3)
     marks = ["a", "word", "'s", "7", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "\x1c", "\xa0", "　", "\x85", "​", "<|endoftext|>", "图", "\x01"]
     for n in range(3000):
