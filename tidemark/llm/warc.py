@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import urllib.parse
 import uuid
@@ -38,6 +39,10 @@ class Record:
     refers_to: int | None
 
 
+_QUOTED = "X-Target-URI-Quoted"
+_PLAIN_URL = re.compile(r"[!-~]+")
+
+
 def _digest_text(hexadecimal: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
@@ -50,7 +55,10 @@ def _id(text: str | None) -> int | None:
     if not text or not text.startswith(f"<{_PAGE}") or not text.endswith(">"):
         raise DamagedArchive(f"no page in record id {text!r}")
     own = text[len(_PAGE) + 1 : -1]
-    return None if own == "none" else int(own)
+    try:
+        return None if own == "none" else int(own)
+    except ValueError as e:
+        raise DamagedArchive(f"no page in record id {text!r}") from e
 
 
 def record_bytes(r: Record, date: str) -> bytes:
@@ -58,7 +66,10 @@ def record_bytes(r: Record, date: str) -> bytes:
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r.payload_bytes}\r\n\r\n".encode()
     head = [f"WARC-Type: {r.kind}", f"WARC-Record-ID: {_name(r.page_id)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: {_digest_text(r.digest)}"]
     if r.url is not None:
-        head.append("WARC-Target-URI: " + urllib.parse.quote(r.url, safe=":/?#[]@!$&'()*+,;=%-._~"))
+        plain = _PLAIN_URL.fullmatch(r.url) is not None
+        head.append("WARC-Target-URI: " + (r.url if plain else urllib.parse.quote(r.url, safe=":/?#[]@!$&'()*+,;=-._~")))
+        if not plain:  # what no header may hold is quoted, per cents too, and so said
+            head.append(f"{_QUOTED}: yes")
     if r.kind == "revisit":
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_name(r.refers_to)}"]
     else:
@@ -73,7 +84,7 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise DamagedArchive(f"not a header: {line[:80]!r}")
-        found[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8")
+        found[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     return found
 
 
@@ -102,18 +113,22 @@ def parse_record(raw: bytes) -> Record | None:
     if cut < 0 or not block.startswith(b"HTTP/1."):
         raise DamagedArchive("no HTTP header in the block")
     http = _headers(block[:cut].split(b"\r\n")[1:])
-    payload, n = block[cut + 4 :], int(http["content-length"])
     algorithm, _, text = head.get("warc-payload-digest", "").partition(":")
     if algorithm != "sha1":
         raise DamagedArchive("no SHA-1 payload digest")
-    digest = base64.b32decode(text).hex()
+    try:
+        payload, n, digest = block[cut + 4 :], int(http["content-length"]), base64.b32decode(text).hex()
+    except (KeyError, ValueError) as e:
+        raise DamagedArchive(f"missing or bad HTTP length or digest: {e}") from e
     if kind == "response":
         if len(payload) != n or hashlib.sha1(payload).hexdigest() != digest:
             raise DamagedArchive("payload and its length or digest differ")
     elif payload:
         raise DamagedArchive("a revisit with a payload")
     url = head.get("warc-target-uri")
-    return Record(kind, _id(head["warc-record-id"]), None if url is None else urllib.parse.unquote(url), payload, n, digest, _id(head["warc-refers-to"]) if kind == "revisit" else None)
+    if url is not None and head.get(_QUOTED.lower()) == "yes":
+        url = urllib.parse.unquote(url)
+    return Record(kind, _id(head["warc-record-id"]), url, payload, n, digest, _id(head.get("warc-refers-to")) if kind == "revisit" else None)
 
 
 class ArchiveWriter:
@@ -167,7 +182,10 @@ def read_archive(source, step: int = 1 << 16) -> Iterator[Record]:
 
 
 def learn_dictionary(pages: DataFrame, sample: int = 200, most_chars: int = 20_000, size: int = 32 << 10) -> bytes:
-    """A dictionary from a bounded sample: the ``sample`` rows of smallest hash of page_id. Empty if there is too little to learn from."""
+    """A dictionary from a bounded sample: the starts (``most_chars``) of the ``sample`` rows of smallest hash of page_id. Empty if there is too little to learn from.
+
+    It bears on the archives' size alone; records hold whole payloads.
+    """
     ids = [r[0] for r in pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
     texts = [r[0].encode() for r in pages.where(F.col("page_id").isin(ids)).select(F.left("html", F.lit(most_chars))).limit(2 * sample).collect() if r[0]] if ids else []
     try:
@@ -184,10 +202,13 @@ def decide_roles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     share that page_id are all responses; a null page_id is the smallest; a
     null html is an empty payload.
     """
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html")).withColumn("big", F.octet_length("html") >= least_bytes)
-    again = rows.where("big").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper", F.lit(True).alias("big"))
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(html).alias("digest"), (F.octet_length(html) >= least_bytes).alias("big"))
+    again = rows.where("big").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return rows.join(again, ["digest", "big"], "left").select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    # small pages, often equal, need no partner; of the join a digest of many rows is a skewed key on the left, which is split
+    small, big = rows.where("NOT big").withColumn("keeper", F.lit(None).cast("long")), rows.where("big").join(again, "digest", "left")
+    return small.unionByName(big).select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, most_bytes: int = 64 << 20) -> DataFrame:
