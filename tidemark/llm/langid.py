@@ -18,29 +18,38 @@ UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}").search
 
 
-def learn_dictionaries(spark: SparkSession, docs: DataFrame, usable: Column, dictionary_bytes: int = 110 << 10, sample_docs: int = 150, per_doc_bytes: int = 2048) -> dict[str, bytes]:
+def learn_dictionaries(spark: SparkSession, docs: DataFrame, usable: Column, dictionary_bytes: int = 110 << 10, sample_docs: int = 300) -> dict[str, bytes]:
     """A dictionary for each language among the rows for which ``usable`` holds.
 
     The sample is bounded and documented: of each language the ``sample_docs``
-    rows of smallest hash of doc_id, from each at most ``per_doc_bytes`` bytes,
-    until ``dictionary_bytes`` are full. Null text, lang or doc_id: not used.
+    rows of smallest hash of doc_id whose texts have at most an eighth of
+    ``dictionary_bytes``, whole texts in that order until the dictionary is
+    full. Null text, lang or doc_id: not used; repeated rows count once.
     """
     small_batches(spark)
     of_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= dictionary_bytes // 8))
     picked = rows.select("lang", "doc_id").withColumn("nth", F.row_number().over(of_lang)).where(F.col("nth") <= sample_docs)
     ids = {(r.lang, r.doc_id): r.nth for r in picked.collect()}  # sample_docs rows a language at most
     found: dict[str, list] = {}
-    wanted = rows.where(F.col("doc_id").isin([d for _, d in ids]) & F.col("text").isNotNull()).select("lang", "doc_id", F.left("text", F.lit(per_doc_bytes)).alias("text"))
+    wanted = rows.where(F.col("doc_id").isin([d for _, d in ids])).select("lang", "doc_id", "text")
     for r in wanted.distinct().collect():
         if (r.lang, r.doc_id) in ids:
-            found.setdefault(r.lang, []).append((ids[r.lang, r.doc_id], r.text))
-    return {lang: b"\n".join(t.lower().encode()[:per_doc_bytes] for _, t in sorted(texts))[:dictionary_bytes] for lang, texts in sorted(found.items())}
+            found.setdefault(r.lang, []).append((ids[r.lang, r.doc_id], r.text.lower().encode("utf-8", "replace")))
+    dictionaries = {}
+    for lang, texts in sorted(found.items()):
+        held, size = [], 0
+        for _, raw in sorted(texts):
+            if size + len(raw) + 1 <= dictionary_bytes:
+                held.append(raw)
+                size += len(raw) + 1
+        dictionaries[lang] = b"\n".join(held)
+    return dictionaries
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 5, block: int = 2048):
-        self.block = block
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 5, block: int = 2048, short: int = 256):
+        self.block, self.short = block, short
         self.by_lang = {}
         for lang, content in sorted(dictionaries.items()):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -51,22 +60,30 @@ class Classifier:
         """Compressed bytes of the whole text under each dictionary; blocks bound memory and keep the dictionary in play."""
         raw = text.lower().encode("utf-8", "replace")
         blocks = [raw[at : at + self.block] for at in range(0, len(raw), self.block)]
+        if len(raw) < self.short:  # whole bytes are a coarse measure of a short text: its tails are measured too
+            blocks += [raw[len(raw) * k // 4 :] for k in (1, 2, 3) if len(raw) * k // 4]
         return {lang: sum(len(c.compress(b)) for b in blocks) for lang, c in self.by_lang.items()}
 
     def predict(self, text: str | None, min_margin: float = 0.0) -> tuple[str, float]:
-        """(language, score). The score is the share by which the best dictionary beats the second."""
+        """(language, score). The score is the share by which the best dictionary beats the second.
+
+        A margin under ``min_margin`` is narrow, and the text rejected, only if
+        it is long enough to show one: from ``short`` bytes on.
+        """
         if not text or not _LETTER(text) or not self.by_lang:
             return UNDETERMINED, 0.0
         ranked = sorted((n, lang) for lang, n in self.sizes(text).items())
         margin = 1.0 - ranked[0][0] / ranked[1][0] if len(ranked) > 1 else 1.0
-        return (ranked[0][1] if margin >= min_margin else UNDETERMINED), margin
+        narrow = margin < min_margin and len(text.encode("utf-8", "replace")) >= self.short
+        return (UNDETERMINED if narrow else ranked[0][1]), margin
 
 
 def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.0) -> DataFrame:
     """``docs`` with lang_pred and score. Only the text is looked at.
 
-    A text that is null, empty or without a letter, or whose margin is under
-    ``min_margin``, gets ``und``. Ties go to the language that sorts first.
+    A text that is null, empty or without a letter, or long enough and of a
+    margin under ``min_margin``, gets ``und``. Very long texts are measured in
+    blocks; repeated rows get equal results; an empty table stays empty. Ties go to the language that sorts first.
     Columns of ``docs`` by the two new names give way to the new ones.
     """
     small_batches(spark)
