@@ -124,10 +124,23 @@ def lists_of(x: np.ndarray, c: np.ndarray, edges: np.ndarray, beam: int, ratio:
     return at, ids[at, j]
 
 
-def probes(q: np.ndarray, c: np.ndarray, ratio: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: all lists whose distance is at most ``ratio`` times the nearest one's, or ``least`` where a query all but stands on a centroid."""
-    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1) - 2 * q @ c.T, 0))
-    return np.nonzero(d <= ratio * np.maximum(d.min(1, keepdims=True), least) + 1e-6)
+def probes(q: np.ndarray, c: np.ndarray, edges: np.ndarray, ratio: float, least: float, beam: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: all lists whose distance is at most ``ratio`` times the nearest one's, or ``least`` where a query all but stands on a centroid.
+
+    The graph is searched with a beam that widens for the rows whose farthest
+    centroid found is still within the bound, up to all centroids.
+    """
+    rows, lists, todo = [], [], np.arange(len(q))
+    while len(todo):
+        ids, d = graph_search(q[todo], c, edges, beam)
+        d = np.sqrt(d)
+        within = np.isfinite(d) & (d <= ratio * np.maximum(d[:, :1], least) + 1e-6)
+        wide = within[:, -1] & (ids.shape[1] < len(c)) & (beam < len(c))
+        at, j = np.nonzero(within & ~wide[:, None])
+        rows.append(todo[at])
+        lists.append(ids[at, j])
+        todo, beam = todo[wide], 4 * beam
+    return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(lists or [np.zeros(0, int)])
 
 
 def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: int, recall: float, replicas: int, replica_ratio: float, queries: int = 192) -> tuple[float, float]:
@@ -189,7 +202,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
     n, norm2 = reps.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     norm = float(norm2) ** 0.5
     share = min(1.0, sample_rows / n)
-    sample = reps.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * sample_rows).toPandas()["v"]
+    sample = reps.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").toPandas()["v"]
     v = np.stack(sample.to_list()) if len(sample) else np.ones((1, dim))
     x = _lifted(v, norm, False)
     lists = max(1, min(-(-n // list_rows), most_lists, max(len(x) // 4, 1)))
@@ -207,7 +220,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
                 flat = batch.column("v").flatten().to_numpy().reshape(-1, dim)
                 for at in range(0, len(flat), 256):
                     part = _lifted(flat[at : at + 256], norm, query)
-                    row, own = probes(part, c, probe_ratio, least) if query else lists_of(part, c, edges, 24, replica_ratio, replicas, True)
+                    row, own = probes(part, c, edges, probe_ratio, least) if query else lists_of(part, c, edges, 24, replica_ratio, replicas, True)
                     idx = pa.array(row + at)
                     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(batch.column(i).take(idx) for i in range(batch.num_columns))], names=["list", *batch.schema.names])
 
@@ -219,11 +232,15 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
 
     def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
         """Blocks of about ``block`` rows of a list, each an array: never a whole list at once."""
-        counts = df.groupBy("list").agg(F.count("*").alias("n"))
-        dealt = df.join(counts, "list").withColumn("b", F.pmod(F.xxhash64(key, "v"), F.ceil(F.col("n") / block)))
-        return dealt.groupBy("list", "b").agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias(name)).drop("b")
-
-    pairs = blocks(written(spark, probing, "probes"), "query_id", "q").join(blocks(postings, "rep", "p"), "list")
+        counts = df.groupBy("list").agg(F.ceil(F.count("*") / block).alias("n"))
+        dealt = df.join(counts, "list").withColumn("b", F.pmod(F.xxhash64(key, "v"), F.col("n")))
+        return dealt.groupBy("list", "b").agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias(name), F.first("n").alias("n"))
+
+    # every block of queries goes to every block of its list, each pair a key of its own
+    kept = blocks(postings, "rep", "p").withColumnRenamed("n", "n_p")
+    in_list = kept.groupBy("list").agg(F.max("n_p").alias("n_p"))
+    asking = blocks(written(spark, probing, "probes"), "query_id", "q").select("list", "q").join(in_list, "list")
+    pairs = asking.select("list", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_p") - 1)).alias("b")).join(kept.select("list", "b", "p"), ["list", "b"])
 
     def best_of(query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
         """Each query's k + 1 best of the rows, repeats once."""
