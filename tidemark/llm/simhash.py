@@ -9,7 +9,8 @@ with every choice of t bits masked; those that meet under one key are verified.
 
 Texts of a Jaccard similarity near 0.8 differ in about 15 % of the bits, too
 many for one fingerprint of 64. ``similar_groups`` takes several independent
-ones, probes each for itself and verifies on the bits of all together.
+ones, probes each for itself by keys whose width does not depend on the size
+of the table, and verifies every link on the sets of shingles themselves.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.llm.common import small_batches, written
-from tidemark.llm.components import components
+from tidemark.operators.components import components
 
 _HASH = xxhash.xxh64_intdigest
 
@@ -39,19 +40,25 @@ def _more(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
-    """``words`` independent SimHashes of a whole text: ASCII lower case, shingles with repeats; 0 without words."""
+def shingles(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of a whole text's shingles in order, with repeats: ASCII lower case; of fewer words the whole sequence, without words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, "<u8")
     line = b" ".join(tokens)
     if len(tokens) <= shingle:
-        hashes = np.array([_HASH(line, seed)], "<u8")
-    else:
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(tokens) - shingle + 1].tolist()
-        hashes = np.array([_HASH(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+        return np.array([_HASH(line, seed)], "<u8")
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(tokens) - shingle + 1].tolist()
+    return np.array([_HASH(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
+    """``words`` independent SimHashes of a whole text: ASCII lower case, shingles with repeats; 0 without words."""
+    hashes = shingles(text, shingle, seed)
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
     ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 255):  # counts of 255 rows fit a byte
         part = _more(hashes[at : at + 255], words)
@@ -73,7 +80,9 @@ def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 3, words:
             fps = np.array([fingerprint(t.as_py(), shingle, words=words) for t in batch.column(1)], np.uint64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(words))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in names)}")
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in names)])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _statistics(distinct: DataFrame, words: int) -> tuple[int, np.ndarray]:
@@ -145,8 +154,12 @@ def allocate(n: int, both: np.ndarray, dealt: list[list[int]], tau: int) -> tupl
     return ts, cost
 
 
-def masks(n: int, both: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """(bits compared, part number) of every probe of the cheapest number of parts."""
+def masks(n: int, both: np.ndarray, tau: int, parts: int | None = None) -> list[int]:
+    """The bits compared by every probe of the cheapest number of parts; with ``parts`` given, of tau + 1 parts probed by their plain values."""
+    if parts is not None:
+        if parts <= tau:
+            raise ValueError("plain values of so few parts would miss pairs within tau")
+        return [sum(1 << b for b in bits) for bits in deal_bits(n, both, parts)]
     tried = []
     for parts in range(1, min(tau + 1, 16) + 1):
         dealt = deal_bits(n, both, parts)
@@ -157,54 +170,56 @@ def masks(n: int, both: np.ndarray, tau: int) -> list[tuple[int, int]]:
     return [sum(1 << b for b in bits if b not in c) for bits, t in zip(dealt, ts) if t >= 0 for c in combinations(bits, t)]
 
 
-def _forest(keys: np.ndarray, fps: np.ndarray, most: int, crossing: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of equal keys that span what is within ``most`` bits; rows are sorted by key, fps has a column for each word."""
+def _forest(keys: np.ndarray, fps: np.ndarray, steps: tuple[int, ...], crossing: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of equal keys that span what is within ``steps[-1]`` bits, nearer ones (``steps``) first; rows are sorted by key, fps has a column for each word."""
     n = len(fps)
     root = np.arange(n)
     out_a, out_b = [], []
-    at = np.arange(n - 1)
-    shift = 1
-    while len(at):
-        at = at[at + shift < n]
-        at = at[keys[at] == keys[at + shift]]
-        if not len(at):
-            break
-        ok = at if crossing is None else at[crossing[at] != crossing[at + shift]]
-        ok = ok[root[ok] != root[ok + shift]]  # the rest is linked already
-        if len(ok):
-            ok = ok[np.bitwise_count(fps[ok] ^ fps[ok + shift]).sum(1, dtype=np.int64) <= most]
-        for i in ok.tolist():
-            a, b = i, i + shift
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out_a.append(i)
-                out_b.append(i + shift)
-        while len(ok) and (root[root] != root).any():  # every row points to its root
-            root = root[root]
-        shift += 1
+    for most in steps:
+        at = np.arange(n - 1)
+        shift = 1
+        while len(at):
+            at = at[at + shift < n]
+            at = at[keys[at] == keys[at + shift]]
+            if not len(at):
+                break
+            ok = at if crossing is None else at[crossing[at] != crossing[at + shift]]
+            ok = ok[root[ok] != root[ok + shift]]  # the rest is linked already
+            if len(ok):
+                ok = ok[np.bitwise_count(fps[ok] ^ fps[ok + shift]).sum(1, dtype=np.int64) <= most]
+            for i in ok.tolist():
+                a, b = i, i + shift
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out_a.append(i)
+                    out_b.append(i + shift)
+            while len(ok) and (root[root] != root).any():  # every row points to its root
+                root = root[root]
+            shift += 1
     return np.array(out_a, int), np.array(out_b, int)
 
 
-def links(spark: SparkSession, distinct: DataFrame, tau: int = 3, block: int = 1000, words: int = 1, most: int | None = None, stars: bool = False) -> DataFrame:
-    """(a, b): links between the nodes of distinct fingerprints that span every group within ``most`` bits.
+def links(spark: SparkSession, distinct: DataFrame, tau: int = 3, block: int = 1000, words: int = 1, steps: tuple[int, ...] = (), parts: int | None = None, verified: int | None = None) -> DataFrame:
+    """(a, b): links between the nodes of distinct fingerprints that span every group.
 
-    ``distinct`` has node (else fp is), fp, fp1, ... With one word, no pair within tau is
-    lost from its group; with more, none that is within tau in any word and
-    within ``most`` over all. Of the pairs of one key only a spanning forest is
-    emitted; with ``stars`` each of its nodes with the smallest one it reaches
-    under that key, which is often the same for many keys. A key of more than ``block`` fingerprints is cut into blocks, and
-    every two blocks meet in a task of their own.
+    ``distinct`` has node (else fp is), fp, fp1, ... Two nodes may be linked if
+    they are within tau bits in one word at least and within ``steps[-1]``
+    (tau, with one word) in the first ``verified`` words together. Of the pairs
+    of one key only a spanning forest is emitted, the nearest pairs first. A
+    key of more than ``block`` fingerprints is cut into blocks, and every two
+    blocks meet in a task of their own.
     """
-    names = _names(words)
-    most = tau if most is None else most
+    steps = steps or (tau,)
+    verified = verified or words
     if "node" not in distinct.columns:
         distinct = distinct.withColumn("node", F.col("fp"))
     n, both = _statistics(distinct, words)
-    probes = [(name, m) for name, own in zip(names, both) for m in masks(n, own, tau)]
+    probes = [(name, m) for name, own in zip(_names(words), both) for m in masks(n, own, tau, parts)]
+    names = _names(verified)
     keyed = distinct.select("node", *names, F.explode(F.array([F.struct(F.lit(i).alias("probe"), F.col(name).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for i, (name, m) in enumerate(probes)])).alias("k")).select("k.probe", "k.value", "node", *names)
     hot = written(spark, keyed.groupBy("probe", "value").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "hot-keys")
     zero = F.lit(0)
@@ -223,25 +238,11 @@ def links(spark: SparkSession, distinct: DataFrame, tau: int = 3, block: int = 1
         schema = None
 
         def solve(table: pa.Table):
-            h, within, own, node, *fps = (table.column(i).to_numpy() for i in range(4 + words))
+            h, within, own, node, *fps = (table.column(i).to_numpy() for i in range(4 + verified))
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (within[1:] != within[:-1])
             side = np.where(within, np.arange(len(h)), -1 - own)  # between two blocks only pairs across
-            a, b = _forest(np.cumsum(new), np.stack(fps, 1).view(np.uint64), most, side)
-            if stars:
-                least = node.copy()
-                to = np.arange(len(node))
-                for i, j in zip(a.tolist(), b.tolist()):
-                    while to[i] != i:
-                        i = to[i]
-                    while to[j] != j:
-                        j = to[j]
-                    to[j] = i
-                    least[i] = min(least[i], least[j])
-                while (to[to] != to).any():
-                    to = to[to]
-                far = np.flatnonzero(least[to] != node)
-                return pa.RecordBatch.from_arrays([pa.array(least[to[far]]), pa.array(node[far])], names=["a", "b"])
+            a, b = _forest(np.cumsum(new), np.stack(fps, 1).view(np.uint64), steps, side)
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         held = 0
@@ -265,14 +266,35 @@ def links(spark: SparkSession, distinct: DataFrame, tau: int = 3, block: int = 1
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
-def contracted(stars: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, that join the same nodes: all smaller neighbours of b move to the smallest of them.
+def similar_pairs(spark: SparkSession, pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts (node, text) have sets of shingles of Jaccard similarity ``least`` or more, exactly."""
 
-    Stars give b one smaller neighbour for each key and pair of blocks at
-    most, so no window holds more; many links become the same one.
-    """
-    least = F.min("a").over(Window.partitionBy("b"))
-    return stars.withColumn("m", least).select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingles(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+
+    own = written(spark, texts.select("node", "text").mapInArrow(sets, "node long, s array<long>"), "shingle-sets")
+
+    def compare(batches):
+        for batch in batches:
+            a, b = batch.column("sa"), batch.column("sb")
+            ok = []
+            for x, y in zip(a, b):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    first = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    return first.join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+
+
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that join the same nodes: all smaller neighbours of b are led to the smallest of them, so that many links become the same one."""
+    up = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    smallest = up.groupBy("b").agg(F.min("a").alias("m"))
+    return up.join(smallest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
@@ -282,7 +304,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, tau:
     Rows without words share fingerprint 0 and link like any other; a null
     doc_id has no say in component_id unless a group has no other.
     """
-    own = written(spark, fingerprints(spark, docs, shingle), "fingerprints")
+    own = written(spark, fingerprints(spark, docs.select(F.col("doc_id").cast("long"), "text"), shingle), "fingerprints")
     distinct = written(spark, own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     nodes = components(spark, written(spark, links(spark, distinct, tau), "near"))
     rooted = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -291,19 +313,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, tau:
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, words: int = 8, tau: int = 3, most: int = 88) -> DataFrame:
-    """(doc_id, component_id) of rows that links of similar fingerprints reach: component_id is the smallest doc_id there.
+def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, words: int = 12, parts: int = 4, verified: int = 4, steps: tuple[int, ...] = (26, 52)) -> DataFrame:
+    """(doc_id, component_id) of rows that links of similarity ``least`` or more reach: component_id is the smallest doc_id there.
+
+    doc_id may be of any type that has an order; rows of equal doc_id should be
+    equal. Two sets of shingles of Jaccard similarity s have a cosine of about
+    2s / (1 + s), so 15 % of the bits differ at 0.8. Of ``words`` fingerprints
+    each is cut into ``parts`` keys of 16 bits, whatever the size of the table:
+    at 0.8 one of the 48 keys agrees in 97 of 100 pairs, above it more often.
+    Where a key agrees, the first ``verified`` words may differ in
+    ``steps[-1]`` bits (52 of 256 leaves out 1 pair in 100 at 0.8); what that
+    lets through is decided by the sets of shingles themselves, so no link is
+    under ``least``. Nearer pairs (``steps[0]``) are linked first, so a pair
+    that fails joins two groups that hold together without it.
 
-    Two sets of shingles of Jaccard similarity s have a cosine of about
-    2s / (1 + s), so of 512 bits 78 differ on average at 0.8 and 99 at 0.7; 88
-    lets nine in ten of the former pass. doc_id must not be null. Rows without
-    words are alike; rows of one fingerprint are one node; a repeated doc_id
-    may stand in more than one group.
+    Rows without words are alike; rows of one fingerprint are one node, so
+    copies cost nothing beyond a count; null texts have no words; extra
+    columns are not read; an empty table stays empty.
     """
     names = _names(words)
     own = written(spark, fingerprints(spark, docs, shingle, words), "fingerprints")
-    distinct = written(spark, own.groupBy(*names).agg(F.min("doc_id").alias("node")), "distinct")
-    near = written(spark, links(spark, distinct, tau, words=words, most=most, stars=True), "near")
+    grouped = own.groupBy(*names).agg(F.min("doc_id").alias("least_id"))
+    distinct = written(spark, grouped.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    found = written(spark, links(spark, distinct.drop("least_id"), parts - 1, words=words, steps=steps, parts=parts, verified=verified), "candidates")
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    named = distinct.join(ends, "node").select("node", F.col("least_id").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(named, "doc_id").dropDuplicates(["node"])
+    near = written(spark, similar_pairs(spark, found, texts, shingle, least), "near")
     nodes = components(spark, written(spark, contracted(contracted(near)), "contracted"))
-    rooted = distinct.join(nodes, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return own.join(rooted, names).select("doc_id", "component_id")
+    rooted = distinct.join(nodes, "node", "left").select(*names, "least_id", F.coalesce("root", "node").alias("root"))
+    component = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = written(spark, rooted.join(component, "root").select(*names, "component_id"), "classes")
+    return own.join(classes, names).select("doc_id", "component_id")
