@@ -11,10 +11,10 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 ASCII_TOKEN = r"[a-z0-9]+(?:[._-][a-z0-9]+)*"
-_CJK = "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
+_CJK = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
 _RUN = re.compile(rf"[{_CJK}]+|(?:(?![{_CJK}])[^\W_])+(?:[._-](?:(?![{_CJK}])[^\W_])+)*")
 # Cells that mean "no number".
-MISSING = ("", "-", "--", "—", "–", "n/a", "na", "nan", "null", "none", "nil", "/", "…", "...", "无", "不适用", "未披露", "*")
+MISSING = ("", "-", "--", "---", "—", "–", "－", "/", "\\", "n/a", "na", "nan", "null", "none", "无", "暂无", "缺失", "不详")
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -57,11 +57,42 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def number(text: Column) -> Column:
     """A cell as DECIMAL(28,10): thousands commas, percent, minus signs and (x) for negatives; null if it is none."""
-    flat = F.regexp_replace(F.regexp_replace(F.trim(text), "[,，\\s]", ""), "−", "-")
-    negative = flat.rlike(r"^\(.*\)%?$")
-    bare = F.regexp_replace(F.regexp_replace(flat, r"[()]", ""), "%$", "")
-    value = F.when(bare.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), bare.try_cast("decimal(28,10)"))
-    return F.when(F.lower(F.trim(text)).isin(*MISSING), None).otherwise(F.when(negative, -value).otherwise(value))
+    compact = F.regexp_replace(F.translate(F.trim(text), "\u00a0，−％", " ,-%"), "[, ]", "")
+    bare = F.regexp_replace(compact, "%$", "")
+    negative = bare.rlike(r"^\(.*\)$")
+    digits = F.when(negative, F.regexp_extract(bare, r"^\((.*)\)$", 1)).otherwise(bare)
+    value = F.when(digits.rlike(r"^[+-]?(\d+(\.\d+)?|\.\d+)$"), digits.try_cast("decimal(28,10)"))
+    return F.when(is_missing(text), None).otherwise(F.when(negative, -value).otherwise(value))
+
+
+def is_missing(text: Column) -> Column:
+    """Whether a cell says that there is no value."""
+    return F.lower(F.trim(F.coalesce(text, F.lit("")))).isin(*MISSING)
+
+
+def is_percent(text: Column) -> Column:
+    return F.trim(text).rlike("[%％]$")
+
+
+# Years, units in brackets, unit words; characters that make a bracket a formula.
+YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+IN_BRACKETS = r"[（(]([^()（）]{1,32})[)）]"
+UNITS = ("元", "美元", "欧元", "日元", "英镑", "港元", "亿元", "万元", "亿", "万", "吨", "千克", "公斤", "克", "米", "千米", "公里", "公顷", "平方米", "立方米", "升", "毫升", "人", "人次", "户", "辆", "台", "件", "个", "百分点", "%")
+ENGLISH_UNIT = r"^[A-Za-z][A-Za-z0-9 .,/%_\-]{0,39}$"
+FORMULA = r"[\^=+*/\\<>]"
+
+
+def header_year(header: Column) -> Column:
+    """The first year of a header, or null."""
+    return F.nullif(F.regexp_extract(header, YEAR, 1), F.lit("")).cast("int")
+
+
+def header_unit(header: Column) -> Column:
+    """The first bracket of a header that names a unit; ``%`` where the header ends with it; else null."""
+    inner = F.transform(F.regexp_extract_all(header, F.lit(IN_BRACKETS), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")))
+    known = lambda c: F.exists(F.array(*[F.lit(u) for u in UNITS]), lambda u: F.contains(c, u)) | c.rlike(ENGLISH_UNIT)
+    units = F.filter(inner, lambda c: (c != "") & ~c.rlike(r"^(?:19|20)\d{2}\s*年?$") & ~c.rlike(FORMULA) & known(c))
+    return F.coalesce(F.get(units, 0), F.when(F.rtrim(header).rlike("[%％]$"), F.lit("%")))
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
@@ -81,6 +112,12 @@ def contains_term(text: Column, term: str) -> Column:
     return F.contains(F.lower(text), F.lit(term.lower()))
 
 
+def contains_column(text: Column, term: Column) -> Column:
+    """As contains_term, for a term of the same row and texts in one case already."""
+    bounded = F.regexp_like(text, F.concat(F.lit("(?<![A-Za-z0-9_])"), term, F.lit("(?![A-Za-z0-9_])")))
+    return F.contains(text, term) & F.when(term.rlike("^[A-Za-z0-9_]+$"), bounded).otherwise(True)
+
+
 # Words that make a question lean on what was said before, or compare several things.
 FOLLOW_UP = r"(?i)\b(it|its|they|them|that|this|those|these|he|she|same|also)\b"
 COMPLEX = r"(?i)\b(compare|versus|vs|difference|relationship|trend|why|how)\b|[;；]|\?.*\?"
