@@ -21,13 +21,6 @@ def sectionize(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def neighbour_context(blocks: DataFrame, chars: int = 200) -> DataFrame:
-    """Adds the text before and after each block, cut to ``chars``, and the last four titles so far."""
-    w = Window.partitionBy("document_id").orderBy("at")
-    titles = F.collect_list(F.when(F.col("type") == "title", F.col("text"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.withColumn("before", F.right(F.lag("text").over(w), F.lit(chars))).withColumn("after", F.left(F.lead("text").over(w), F.lit(chars))).withColumn("titles", F.slice(F.reverse(F.slice(F.reverse(titles), 1, 4)), 1, 4))
-
-
 def split_text(text: str, most: int = MOST) -> Iterator[str]:
     """Pieces of at most ``most`` characters: after the last sentence mark, else at the last space, else hard."""
     while len(text) > most:

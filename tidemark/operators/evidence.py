@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.text import contains_term
+
 
 def group_hits(hits: DataFrame, k: int) -> DataFrame:
     """Hits (query_id, evidence_id, point_id, score) to the k best evidences of each query.
@@ -73,13 +73,6 @@ def cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Colum
     return F.round(total / F.lit(1000).cast("decimal(4,0)"), 8)
 
 
-def contains_term(text: Column, term: str) -> Column:
-    """A term occurs in the text, cases aside; one of ASCII letters, digits and _ only as a whole word."""
-    if re.fullmatch(r"[A-Za-z0-9_]+", term):
-        return text.rlike(r"(?i)(?<![A-Za-z0-9_])" + term + r"(?![A-Za-z0-9_])")
-    return F.contains(F.lower(text), F.lit(term.lower()))
-
-
 def classify(df: DataFrame, text: str, rules: dict[str, str]) -> DataFrame:
     """Subject of each row by the rules (subject: term): of none ``unclassified``, of several ``ambiguous``."""
     hit = F.array_compact(F.array(*[F.when(contains_term(F.col(text), term), F.lit(subject)) for subject, term in rules.items()]))
@@ -97,3 +90,10 @@ def merge_candidates(first: DataFrame, more: DataFrame, most: int) -> DataFrame:
 def options(df: DataFrame, kind: str, most: int = 20) -> DataFrame:
     """The most frequent kinds with their counts, ties by name; null kinds take no part."""
     return df.where(F.col(kind).isNotNull()).groupBy(kind).count().orderBy(F.desc("count"), kind).limit(most)
+
+
+def split_history(turns: DataFrame, key: str, at: str, text: str, most: int = 8, chars: int = 4000) -> DataFrame:
+    """Turns with part: ``recent`` for the last ``most`` of a conversation that fit into ``chars`` together, else ``older``."""
+    back = Window.partitionBy(key).orderBy(F.desc(at))
+    used = F.coalesce(F.sum(F.char_length(text)).over(back.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return turns.withColumn("part", F.when((F.row_number().over(back) <= most) & (used <= chars), "recent").otherwise("older"))

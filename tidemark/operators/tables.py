@@ -14,15 +14,49 @@ class TableError(ValueError):
     """A request that the table can't answer."""
 
 
-def select(df: DataFrame, columns: list[str] | None = None, rows: list[int] | None = None, index: str = "row") -> DataFrame:
-    """Columns (none: all, repeats collapse) and rows by index, in the order asked for, repeats kept."""
-    names = list(dict.fromkeys(columns or [c for c in df.columns if c != index]))
-    if missing := [c for c in names if c not in df.columns]:
-        raise TableError(f"no column {missing}")
+def label(text: Column) -> Column:
+    """A label as it is compared: no-break spaces as spaces, runs of space made one, lower case."""
+    return F.lower(F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " ")))
+
+
+def _flat(text: str) -> str:
+    return " ".join(text.replace("\u00a0", " ").split()).lower()
+
+
+def resolve(df: DataFrame, wanted: list[str | int], index: str = "row") -> list[str]:
+    """Column names of references: 0-based places or labels; repeats collapse, an unclear label is an error."""
+    names, found = [c for c in df.columns if c != index], []
+    for ref in wanted:
+        if isinstance(ref, int):
+            if not 0 <= ref < len(names):
+                raise TableError(f"no column {ref}")
+            found.append(names[ref])
+            continue
+        same = [n for n in names if _flat(n) == _flat(ref)]
+        if len(same) != 1:
+            raise TableError(f"{'no' if not same else 'several'} columns {ref!r}")
+        found.append(same[0])
+    return list(dict.fromkeys(found))
+
+
+def select(df: DataFrame, columns: list[str | int] | None = None, rows: list[int | str] | None = None, index: str = "row", labels: str | None = None) -> DataFrame:
+    """Columns (none: all) and rows by index or by the label in column ``labels``, in the order asked for, repeats kept."""
+    names = resolve(df, columns, index) if columns else [c for c in df.columns if c != index]
     if rows is None:
         return df.select(index, *names)
-    asked = df.sparkSession.createDataFrame(list(enumerate(rows)), f"request long, {index} long")
-    return df.join(F.broadcast(asked), index).select("request", index, *names)  # the request is a short list
+    asked = [(i, r if isinstance(r, int) else None, _flat(r) if isinstance(r, str) else None) for i, r in enumerate(rows)]
+    if labels is None and any(x[2] is not None for x in asked):
+        raise TableError("the table has no row labels")
+    wanted = df.sparkSession.createDataFrame(asked, "request long, _at long, _label string")
+    match = F.col(index) == F.col("_at")
+    if labels is not None:
+        match = match | (label(F.col(labels)) == F.col("_label"))
+    return df.join(F.broadcast(wanted), match).select("request", index, *names)  # the request is a short list
+
+
+def capped(df: DataFrame, order: list, most: int = ROW_CAP) -> tuple[DataFrame, bool]:
+    """The first rows, and whether there were more."""
+    return df.orderBy(*order).limit(most), df.limit(most + 1).count() > most
 
 
 def filter_number(df: DataFrame, column: str, operator: str, value: Decimal) -> DataFrame:
@@ -34,7 +68,7 @@ def filter_number(df: DataFrame, column: str, operator: str, value: Decimal) ->
 
 def filter_text(df: DataFrame, column: Column, operator: str, value: str) -> DataFrame:
     """eq, ne and contains on normalised text; a missing cell is an empty text."""
-    text = F.coalesce(column, F.lit(""))
+    text, value = label(F.coalesce(column, F.lit(""))), _flat(value)
     if operator == "contains":
         return df.where(F.contains(text, F.lit(value)))
     if operator not in ("eq", "ne"):
@@ -46,6 +80,7 @@ def sort(df: DataFrame, column: str, descending: bool = False, limit: int = 50,
     """Numbers: missing last either way, ties in row order. Text: descending turns ties round as well."""
     c = F.col(column)
     if text:
+        c = label(F.coalesce(c, F.lit("")))
         order = [c.desc(), F.desc(index)] if descending else [c.asc(), F.asc(index)]
     else:
         order = [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.asc(index)]
@@ -73,6 +108,12 @@ def growth(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     return df.withColumn("base", base).withColumn("delta", v - base).withColumn("relative", F.round(F.try_divide(v - base, base) * 100, 4))
 
 
+def growth_across(df: DataFrame, base: str, target: str, percent: bool = False) -> DataFrame:
+    """From one column to another of the same kind in each row: delta (percentage points if ``percent``), relative with 4 decimals, half up; null where the base is 0 or missing."""
+    x, y = F.col(base).cast("decimal(18,6)"), F.col(target).cast("decimal(18,6)")
+    return df.withColumn("delta", y - x).withColumn("relative", F.round(F.try_divide(y - x, x) * 100, 4)).withColumn("unit", F.lit("percentage points" if percent else None).cast("string"))
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, value: str, index: str = "row") -> DataFrame:
     """Equi-join of two tables on a key; rows without a number do not count; a key twice is an error; relative is null for B = 0."""
     sides = []

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from tidemark.functions.text import number
+from tidemark.functions.text import header_unit, header_year, is_missing, is_percent, number
 
 CELLS = ArrayType(StructType([StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("text", StringType()), StructField("derived", BooleanType())]))
 
@@ -98,15 +98,29 @@ def cells(df: DataFrame, key: str, column: str, markdown: bool = False) -> DataF
     """key, row, col, text, derived, value (decimal or null), percent."""
     found: Column = (_markdown if markdown else _html)(F.col(column))
     flat = df.select(key, F.explode(found).alias("c")).select(key, "c.row", "c.col", "c.text", "c.derived")
-    return flat.withColumn("value", number(F.col("text"))).withColumn("percent", F.col("text").rlike(r"%\)?\s*$"))
+    return flat.withColumn("value", number(F.col("text"))).withColumn("percent", is_percent(F.col("text")))
 
 
 def columns(table_cells: DataFrame, key: str) -> DataFrame:
-    """key, col, header, n, numbers, kind: number, percent, text or mixed, from the rows below the first."""
-    body = F.col("row") > 0
-    found = table_cells.groupBy(key, "col").agg(
-        F.max(F.when(~body, F.col("text"))).alias("header"), F.count_if(body & (F.trim("text") != "")).alias("n"),
-        F.count_if(body & F.col("value").isNotNull()).alias("numbers"), F.count_if(body & F.col("value").isNotNull() & F.col("percent")).alias("percents"),
+    """key, col, header, unit, year, data_start, kind of every column.
+
+    Data start at the first row with enough numbers: at least one and two
+    fifths of its width, rounded up as (2 w + 4) // 5; years and copies of
+    spans do not count. The header is made of the distinct texts above (the
+    first row itself if it has numbers already). A table without such a row
+    has no columns. Kinds: text (no number), mixed (numbers and text, or
+    numbers and percents), percent, number; missing cells count for none.
+    """
+    year = F.col("text").rlike(r"^\s*(?:19|20)\d{2}\s*年?\s*$")
+    scored = table_cells.groupBy(key, "row").agg(F.count("*").alias("w"), F.count_if(~F.col("derived") & F.col("value").isNotNull() & ~(year & ~F.col("percent"))).alias("s"))
+    start = scored.where(F.col("s") >= F.greatest(F.lit(1), F.floor((2 * F.col("w") + 4) / 5))).groupBy(key).agg(F.min("row").alias("data_start"))
+    told = table_cells.join(start, key)
+    head, body = F.col("row") < F.greatest(F.col("data_start"), F.lit(1)), F.col("row") >= F.col("data_start")
+    known = body & F.col("value").isNotNull()
+    found = told.groupBy(key, "col").agg(
+        F.first("data_start").alias("data_start"), F.array_sort(F.collect_list(F.when(head & (F.trim("text") != ""), F.struct("row", "text")))).alias("h"),
+        F.count_if(known & ~F.col("percent")).alias("n"), F.count_if(known & F.col("percent")).alias("p"), F.count_if(body & F.col("value").isNull() & ~is_missing(F.col("text"))).alias("t"),
     )
-    kind = F.when(F.col("numbers") == 0, "text").when(F.col("percents") == F.col("numbers"), "percent").when(F.col("numbers") == F.col("n"), "number").otherwise("mixed")
-    return found.withColumn("kind", kind).drop("percents")
+    header = F.array_join(F.array_distinct(F.transform("h", lambda x: x["text"])), " ")
+    kind = F.when(F.col("n") + F.col("p") == 0, "text").when((F.col("t") > 0) | ((F.col("n") > 0) & (F.col("p") > 0)), "mixed").when(F.col("p") > 0, "percent").otherwise("number")
+    return found.select(key, "col", header.alias("header"), header_unit(header).alias("unit"), header_year(header).alias("year"), "data_start", kind.alias("kind"))
