@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.text import ascii_tokens
+from tidemark.sources.tables import written
 
 K1, B = 1.2, 0.75
 
@@ -22,7 +23,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 4) -> D
 
     queries: query_id and text. Terms of a query count once. Ties: smaller doc_id.
     """
-    index = postings(docs)
+    index = written(docs.sparkSession, postings(docs), "postings")
     terms = postings(queries, "query_id").select("query_id", "term")
     lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     scope = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
@@ -57,6 +58,7 @@ def exact_knn(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: in
         def run(batches, own=own):
             qi, qv = own.value
             best: list[tuple] = []
+            held = 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -67,10 +69,14 @@ def exact_knn(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: in
                 s = np.round(qv @ v.T, digits) + 0.0
                 s[qi[:, None] == di[None, :]] = -np.inf
                 row, col = np.nonzero(s >= np.sort(s, axis=1)[:, [max(-k, -s.shape[1])]]) if s.shape[1] else ([], [])
-                best.append((qi[row], di[col], s[row, col]))
-            for a, b, c in best:
-                keep = np.isfinite(c)
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(c[keep])], names=["query_id", "doc_id", "score"])
+                keep = np.isfinite(s[row, col])
+                best.append((qi[row][keep], di[col][keep], s[row, col][keep]))
+                held += len(best[-1][0])
+                if held > 4 * k * len(qi) + 4096:
+                    best = [_best(best, k)]
+                    held = len(best[0][0])
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(best, k)], names=["query_id", "doc_id", "score"])
 
         part = vectors.where(F.col("v").isNotNull()).select("doc_id", "v").mapInArrow(run, "query_id long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
@@ -79,6 +85,15 @@ def exact_knn(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: in
     return top(found, "query_id", [F.desc("score"), F.asc("doc_id")], k)
 
 
+def _best(parts: list[tuple], k: int) -> tuple:
+    """Of hits (query, doc, score) the k best of each query, ties to the smaller doc."""
+    q, d, s = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], d[keep], s[keep]
+
+
 def rrf(branches: list[DataFrame], k: int = 10, c: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, doc_id, rank): a full outer union, then sums; ties: best rank, doc_id."""
     every = None

@@ -352,4 +352,4 @@ def route_queries(spark, sf_dir):
     return c.select("conv_id", "turn", T.follow_up(F.col("text"), has).alias("follow_up"), T.route(F.col("text")).alias("route"))
 
 
-from tidemark.plans import evidence as _evidence, analysis as _analysis, graphs as _graphs, store as _store  # noqa: E402, F401  (they register their queries here)
+from tidemark.plans import evidence as _evidence, analysis as _analysis, graphs as _graphs, searches as _searches, store as _store  # noqa: E402, F401  (they register their queries here)
