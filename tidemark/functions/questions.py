@@ -22,7 +22,7 @@ FOLLOW_UP = (
     "它", "他", "她", "这个", "那个", "这些", "那些", "上述", "上面", "刚才", "之前", "前面", "上一条", "继续", "接着", "再", "进一步", "展开", "详细", "具体", "为什么", "呢", "this", "that", "these", "those", "it", "they", "above", "previous", "more", "why",
 )
 SEPARATORS, PARTICLES = "，,;；、", "呢吗吧啊呀哦哈嘛"
-LEADING = r"^(?:你好|您好|哈喽|哈罗|嗨|喂|在吗|在么|hello|hi|hey|请问一下|请问|麻烦问一下|麻烦|劳驾|想问一下|想问|我想问)[，,。.!！?？~～、\s]*"
+LEADING = r"^(?:(?:你好|您好|哈喽|哈罗|嗨|喂|在吗|在么|hello|hi|hey|请问一下|请问|麻烦问一下|麻烦|劳驾|想问一下|想问|我想问)[，,。.!！?？~～、\s]*)+"
 TRAILING = r"(?:请问|谢谢|多谢|麻烦了|一下|一下下|的话)*[?？！!。．\s]*$"
 SIMPLE_CHARS, FACT_CHARS, FOLLOW_UP_CHARS, LEAST_COVERAGE = 24, 40, 8, 0.5
 ANALYTIC = "多少|具体|精确|准确|百分|百分之|增长|下降|降幅|增幅|最低|最高|最大|最小|排名|合计|总和|总计|平均|占比|比例|差值|相差|金额|总量|总额"
@@ -90,6 +90,11 @@ def follows_up(question: Column, has_history: Column) -> Column:
     return has_history & (q != "") & ((F.char_length(q) <= FOLLOW_UP_CHARS) | _any(q, FOLLOW_UP))
 
 
+def route(question: Column) -> Column:
+    """direct for a greeting alone, dense for one lookup, else unified."""
+    return F.when(F.trim(question).rlike(LEADING) & (stripped(question) == ""), "direct").when(simple(question), "dense").otherwise("unified")
+
+
 def writes(question: Column) -> Column:
     """Whether a question asks for a change."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.trim(question).rlike(p), F.lit(False)) for p in WRITES])

@@ -116,19 +116,3 @@ def contains_column(text: Column, term: Column) -> Column:
     """As contains_term, for a term of the same row and texts in one case already."""
     bounded = F.regexp_like(text, F.concat(F.lit("(?<![A-Za-z0-9_])"), term, F.lit("(?![A-Za-z0-9_])")))
     return F.contains(text, term) & F.when(term.rlike("^[A-Za-z0-9_]+$"), bounded).otherwise(True)
-
-
-# Words that make a question lean on what was said before, or compare several things.
-FOLLOW_UP = r"(?i)\b(it|its|they|them|that|this|those|these|he|she|same|also)\b"
-COMPLEX = r"(?i)\b(compare|versus|vs|difference|relationship|trend|why|how)\b|[;；]|\?.*\?"
-
-
-def follow_up(question: Column, has_history: Column) -> Column:
-    """Whether a question goes on from the history: at most 8 characters long, or with a marker."""
-    return has_history & ((F.char_length(F.trim(question)) <= 8) | question.rlike(FOLLOW_UP))
-
-
-def route(question: Column) -> Column:
-    """direct for a greeting, unified for a complex question, dense for a short one."""
-    q = F.trim(question)
-    return F.when(q.rlike(r"(?i)^(hi|hello|thanks|thank you|bye)\b[.! ]*$"), "direct").when(q.rlike(COMPLEX), "unified").when(F.char_length(q) <= 24, "dense").otherwise("unified")

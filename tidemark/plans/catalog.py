@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 from pyspark.sql import Window, functions as F  # noqa: E402
 
-from tidemark.functions import text as T  # noqa: E402
+from tidemark.functions import questions as Q  # noqa: E402
 from tidemark.operators import chunking, graph, metrics, retrieval, tables  # noqa: E402
 from tidemark.plans import guard  # noqa: E402
 from tidemark.sources import html_tables  # noqa: E402
@@ -99,7 +99,10 @@ def fair_pool(spark, sf_dir):
     return retrieval.fair_pool([_bm25(spark, sf_dir, 50), _dense(spark, sf_dir, 50)], 48).select("query_id", F.col("rank").cast("long"), "doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_INDEX}, h AS (SELECT query_id, rank, bm.doc_id, length(text) AS size FROM bm JOIN documents USING (doc_id) WHERE rank <= 10),
+p AS (SELECT query_id, 0::BIGINT AS rank, NULL::BIGINT AS doc_id, 0::BIGINT AS size, 0::BIGINT AS used, 0 AS n FROM h GROUP BY 1
+  UNION ALL SELECT p.query_id, h.rank, CASE WHEN used + h.size <= 8000 THEN h.doc_id END, h.size, CASE WHEN used + h.size <= 8000 THEN used + h.size ELSE used END, CASE WHEN used + h.size <= 8000 THEN n + 1 ELSE n END FROM p JOIN h ON h.query_id = p.query_id AND h.rank = p.rank + 1)
+SELECT query_id, 'C' || n AS marker, doc_id, size FROM p WHERE doc_id IS NOT NULL""")
 def context_pack(spark, sf_dir):
     sizes = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("size"))
     return retrieval.pack_context(_bm25(spark, sf_dir, 10).select("query_id", "rank", "doc_id").join(sizes, "doc_id"), 8000)
@@ -345,11 +348,25 @@ def history_window(spark, sf_dir):
     return c.select("conv_id", "turn", F.count("*").over(w).alias("n"), F.coalesce(F.sum(F.char_length("text")).over(w.orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("chars_after"))
 
 
-@query()
+def _stripped_sql(c: str) -> str:
+    """questions.stripped in DuckDB's words, from the same fixed values."""
+    edge = lambda x: f"regexp_replace({x}, '^[{Q.PARTICLES}]+|[{Q.PARTICLES}]+$', '', 'g')"
+    plain = edge(f"regexp_replace(trim(lower(coalesce({c}, '')), ' '), '{Q.LEADING}', '')")
+    short = edge(f"regexp_replace({plain}, '{Q.TRAILING}', '')")
+    return f"coalesce(nullif({short}, ''), {plain})"
+
+
+def _holds(c: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, {_stripped_sql('text')} AS q, row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS later FROM conversations)
+SELECT conv_id, turn, later AND q <> '' AND (length(q) <= 8 OR {_holds('q', Q.FOLLOW_UP)}) AS follow_up,
+CASE WHEN q <> '' AND NOT regexp_matches(q, '[{Q.SEPARATORS}]') AND NOT {_holds('q', Q.COMPLEX)} AND (length(q) <= 24 OR (length(q) <= 40 AND {_holds('q', Q.FACT)})) THEN 'dense' ELSE 'unified' END AS route FROM s""")
 def route_queries(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    c = table(spark, sf_dir, "conversations")
     has = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNotNull()
-    return c.select("conv_id", "turn", T.follow_up(F.col("text"), has).alias("follow_up"), T.route(F.col("text")).alias("route"))
+    return c.select("conv_id", "turn", Q.follows_up(F.col("text"), has).alias("follow_up"), Q.route(F.col("text")).alias("route"))
 
 
 from tidemark.plans import evidence as _evidence, analysis as _analysis, graphs as _graphs, searches as _searches, store as _store  # noqa: E402, F401  (they register their queries here)

@@ -200,15 +200,15 @@ def result_tolerance(spark, sf_dir):
     return equivalence.same_results(o, moved)
 
 
-@query("SELECT 'test' AS split, 300 AS n UNION ALL SELECT 'dev', count(*) - 300 FROM customer")
+@query("SELECT 'test' AS split, 100 AS n UNION ALL SELECT 'dev', count(*) - 100 FROM customer")
 def group_split(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("item"), F.floor(F.col("o_orderkey") / 2).alias("signature"))
     groups = E.leakage_groups(spark, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item")), o)
     sizes = groups.groupBy("group").agg(F.count("*").cast("int").alias("n"))
     # groups of one size are alike: the search sees a few sizes, then the first groups of each are taken
     counts = {r["n"]: r["c"] for r in sizes.groupBy("n").agg(F.count("*").alias("c")).collect()}
-    units = [((n, i), n) for n, c in counts.items() for i in range(min(c, 300 // n + 1))]
-    chosen = E.split_groups(units, 300)
+    units = [((n, i), n) for n, c in counts.items() for i in range(min(c, 100 // n + 1))]
+    chosen = E.split_groups(units, 100)
     take = spark.createDataFrame([(n, sum(1 for m, _ in chosen if m == n)) for n in counts], "n int, take int")
     nth = F.row_number().over(Window.partitionBy("n").orderBy("group"))
     marked = sizes.withColumn("nth", nth).join(take, "n").withColumn("split", F.when(F.col("nth") <= F.col("take"), "test").otherwise("dev"))
