@@ -65,17 +65,19 @@ def _covered(term: Column, text: Column) -> Column:
     return F.contains(text, term) | ((F.char_length(term) >= 3) & F.contains(text, F.substring(term, 1, 2)))
 
 
-def coverage(question: Column, text: Column) -> Column:
-    """The share of a question's content terms that a text has; 1 if it has none."""
-    terms, flat = content_terms(question), F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(F.size(terms) == 0, 1.0).otherwise(F.size(F.filter(terms, lambda t: _covered(t, flat))) / F.size(terms))
+def flat(text: Column) -> Column:
+    """A text as terms are looked for in it: lower case, runs of space made one."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
-def escalates(question: Column, text: Column) -> Column:
-    """Whether a dense result is too thin: an empty context, its subject missing, or under half of the terms covered."""
-    flat = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    first = F.get(content_terms(question), 0)
-    return (F.trim(flat) == "") | F.coalesce(~_covered(first, flat), F.lit(False)) | (coverage(question, text) < LEAST_COVERAGE)
+def coverage(terms: Column, text: Column) -> Column:
+    """The share of content terms that a flat text has; 1 if there are none. Both are best columns worked out before: each is read more than once."""
+    return F.when(F.size(terms) == 0, 1.0).otherwise(F.size(F.filter(terms, lambda t: _covered(t, text))) / F.size(terms))
+
+
+def escalates(terms: Column, text: Column) -> Column:
+    """Whether a dense result, as a flat text, is too thin: empty, its subject missing, or under half of the terms covered."""
+    return (F.trim(text) == "") | F.coalesce(~_covered(F.get(terms, 0), text), F.lit(False)) | (coverage(terms, text) < LEAST_COVERAGE)
 
 
 def simple(question: Column) -> Column:

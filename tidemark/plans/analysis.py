@@ -10,7 +10,7 @@ from tidemark.functions import questions as Q, text as T
 from tidemark.operators import evaluation as E, tables
 from tidemark.plans.catalog import query
 from tidemark.sources import html_tables
-from tidemark.sources.tables import shared_dir, table
+from tidemark.sources.tables import table, written
 
 # ---- tables: the suppliers of a nation as one HTML table --------------------------------------
 
@@ -103,14 +103,16 @@ def question_simple(spark, sf_dir):
     return _asked(spark, sf_dir).where("s <> ''").select("conv_id", "turn", Q.simple(F.col("question")).alias("simple"))
 
 
-@query("""WITH b AS (SELECT item_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2)) AS terms, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS own FROM benchmark),
+@query("""WITH b AS (SELECT item_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2)) AS terms, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2)[1] AS f, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS own FROM benchmark),
 d AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS hay FROM documents),
-j AS (SELECT item_id, doc_id, terms, hay FROM b JOIN d ON doc_id % 40 = item_id % 40)
-SELECT item_id, doc_id, round(len(list_filter(terms, lambda t: contains(hay, t) OR (length(t) >= 3 AND contains(hay, substr(t, 1, 2)))))::DOUBLE / len(terms), 6) AS coverage FROM j WHERE len(terms) > 0""")
+j AS (SELECT item_id, doc_id, terms, f, hay FROM b JOIN d ON doc_id % 40 = item_id % 40)
+SELECT item_id, doc_id, round(len(list_filter(terms, lambda t: contains(hay, t) OR (length(t) >= 3 AND contains(hay, substr(t, 1, 2)))))::DOUBLE / len(terms), 6) AS coverage,
+trim(hay, ' ') = '' OR NOT (contains(hay, f) OR (length(f) >= 3 AND contains(hay, substr(f, 1, 2)))) OR len(list_filter(terms, lambda t: contains(hay, t) OR (length(t) >= 3 AND contains(hay, substr(t, 1, 2)))))::DOUBLE / len(terms) < 0.5 AS escalates FROM j WHERE len(terms) > 0""")
 def question_coverage(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"), (F.col("item_id") % 40).alias("k"))
-    pairs = b.join(table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k")), "k")
-    return pairs.where(F.size(Q.content_terms(F.col("q"))) > 0).select("item_id", "doc_id", F.round(Q.coverage(F.col("q"), F.col("text")), 6).alias("coverage"))
+    asked = written(spark, table(spark, sf_dir, "benchmark").select("item_id", Q.content_terms(F.col("text")).alias("terms"), (F.col("item_id") % 40).alias("k")), "terms")
+    docs = table(spark, sf_dir, "documents").select("doc_id", Q.flat(F.col("text")).alias("flat"), (F.col("doc_id") % 40).alias("k"))
+    pairs = asked.where(F.size("terms") > 0).join(docs, "k")
+    return pairs.select("item_id", "doc_id", F.round(Q.coverage(F.col("terms"), F.col("flat")), 6).alias("coverage"), Q.escalates(F.col("terms"), F.col("flat")).alias("escalates"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'text_only' WHEN event_id % 4 = 1 THEN 'text_and_visual' WHEN event_id % 4 = 2 THEN 'text_and_visual' ELSE CASE WHEN user_id % 3 = 0 AND value * 10000 <= 600000 THEN 'text_only' ELSE 'text_and_visual' END END AS mode,
