@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder name below the one that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (a local test
-    session) a temporary folder of this machine takes its place.
+    ``spark.checkpoint.dir`` names it. Only where that is unset in a local
+    session a temporary folder of this machine takes its place; on a cluster
+    that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", base)
         spark.sparkContext.setCheckpointDir(base)
