@@ -240,11 +240,17 @@ def degree_topn(spark, sf_dir):
     return graph.degree(_edges(spark, sf_dir), 50)
 
 
-@query("""WITH s AS (SELECT DISTINCT o_custkey * 2 AS id FROM orders WHERE o_totalprice > 400000), e AS (SELECT o_custkey * 2 AS src, o_orderkey * 2 + 1 AS dst FROM orders)
-SELECT s.id AS seed, e.dst AS node FROM s JOIN e ON s.id = e.src QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY e.dst) <= 20""")
+@query("""WITH s AS (SELECT DISTINCT o_custkey * 4 AS id FROM orders WHERE o_totalprice > 400000),
+h AS (SELECT s.id AS seed, o_orderkey AS o FROM s JOIN orders ON o_custkey * 4 = s.id QUALIFY dense_rank() OVER (PARTITION BY s.id ORDER BY o_orderkey) <= 3),
+t AS (SELECT seed, l_partkey FROM h JOIN lineitem ON l_orderkey = o QUALIFY dense_rank() OVER (PARTITION BY seed, o ORDER BY l_partkey) <= 3)
+SELECT seed, o * 4 + 1 AS node, 1 AS hops FROM h UNION ALL SELECT seed, l_partkey * 4 + 2, 2 FROM t""")
 def graph_two_hop(spark, sf_dir):
-    seeds = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select((F.col("o_custkey") * 2).alias("id")).distinct()
-    return graph.walk(seeds, _edges(spark, sf_dir), 2).where("hops > 0").select("seed", "node")
+    """Customers, their orders, the parts of those: three neighbours a step."""
+    o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    edges = o.select((F.col("o_custkey") * 4).alias("src"), (F.col("o_orderkey") * 4 + 1).alias("dst"), (-F.col("o_orderkey")).alias("rel"))
+    edges = edges.union(lines.select(F.col("l_orderkey") * 4 + 1, F.col("l_partkey") * 4 + 2, F.col("l_orderkey") * 8 + F.col("l_linenumber")))
+    seeds = o.where("o_totalprice > 400000").select((F.col("o_custkey") * 4).alias("id")).distinct()
+    return graph.walk(seeds, edges, 2, max_neighbors=3).where("hops > 0").select("seed", "node", "hops")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
