@@ -22,18 +22,19 @@ def learn_dictionaries(spark: SparkSession, docs: DataFrame, usable: Column, dic
     """A dictionary for each language among the rows for which ``usable`` holds.
 
     The sample is bounded and documented: of each language the ``sample_docs``
-    rows of smallest hash of doc_id whose texts have at most an eighth of
+    ids of smallest hash whose texts have at most an eighth of
     ``dictionary_bytes``, whole texts in that order until the dictionary is
-    full. Null text, lang or doc_id: not used; repeated rows count once.
+    full. Null text, lang or doc_id: not used; repeated rows count once, and of
+    several texts of one doc_id and language the least is taken.
     """
     small_batches(spark)
     of_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= dictionary_bytes // 8))
-    picked = rows.select("lang", "doc_id").withColumn("nth", F.row_number().over(of_lang)).where(F.col("nth") <= sample_docs)
-    ids = {(r.lang, r.doc_id): r.nth for r in picked.collect()}  # sample_docs rows a language at most
+    picked = rows.select("lang", "doc_id").withColumn("nth", F.dense_rank().over(of_lang)).where(F.col("nth") <= sample_docs).distinct()
+    ids = {(r.lang, r.doc_id): r.nth for r in picked.collect()}  # sample_docs ids a language at most
     found: dict[str, list] = {}
     wanted = rows.where(F.col("doc_id").isin([d for _, d in ids])).select("lang", "doc_id", "text")
-    for r in wanted.distinct().collect():
+    for r in wanted.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect():
         if (r.lang, r.doc_id) in ids:
             found.setdefault(r.lang, []).append((ids[r.lang, r.doc_id], r.text.lower().encode("utf-8", "replace")))
     dictionaries = {}
