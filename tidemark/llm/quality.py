@@ -117,13 +117,15 @@ class FactorisationMachine:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = 8_000) -> FactorisationMachine | None:
     """Fits on a bounded, documented sample: the ``sample_rows`` labelled ids of smallest hash for which ``usable`` holds.
 
-    A doc_id with two labels that differ is not used, nor is a null one. None
-    if no label is left.
+    A doc_id with two labels that differ is not used, nor is a null one; of
+    several texts of one doc_id the least is taken, so no more than
+    ``sample_rows`` rows reach the driver. None if no label is left.
     """
     small_batches(spark)
     sure = labels.where(usable & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     picked = sure.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # sample_rows rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # picked has sample_rows rows at most
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
     def featurise(batches):
         f = Features()
@@ -131,7 +133,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Colum
             found = [f(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64())), pa.array([x[2] for x in found], pa.list_(pa.float64()))], names=["doc_id", "quality", "ids", "vals", "stats"])
 
-    got = rows.mapInArrow(featurise, "doc_id long, quality int, ids array<long>, vals array<double>, stats array<double>").limit(2 * sample_rows).toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(featurise, "doc_id long, quality int, ids array<long>, vals array<double>, stats array<double>").toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return None
     found = [(np.asarray(a), np.asarray(b), list(c)) for a, b, c in zip(got["ids"], got["vals"], got["stats"])]
