@@ -426,6 +426,123 @@ def test_pipeline_stages(spark, docs, empty):
         assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() >= 0
 
 
+def _sources(spark, sf):
+    """Documents of the small table with edited copies, equal copies, junk and a null of everything."""
+    rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rng, long = random.Random(4), [r for r in rows if r[1] and len(r[1].split()) > 120][:30]
+    for k, r in enumerate(long):
+        words = r[1].split(" ")
+        words[rng.randrange(len(words))] = f"edited{k}"
+        rows.append((10_000 + k, " ".join(words), r[2], r[3], r[4]))
+        rows.append((20_000 + k, r[1], r[2], r[3], r[4]))
+    rows += [(30_000, None, None, None, None), (30_001, "", "en", "a", 0), (None, "Reach me at jo.day@mail.org or (212) 555-0199 before noon, or not at all.", "en", None, 70), long[0], long[0]]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_each_stage_against_brute_force(spark, sf):
+    """Each stage on what the one before kept, held against plain Python (mixing: its SQL)."""
+    import duckdb
+    import corpus_pipeline as P
+
+    def rows(df):
+        return [tuple(r) for r in df.select(*P.COLUMNS).collect()]
+
+    kept = [_sources(spark, sf)]
+    for _, stage in P.STAGES[:-1]:
+        kept.append(spark.createDataFrame(stage(spark, kept[-1], sf).collect(), SCHEMA))
+    start, told, apart, masked, mixed = [rows(d) for d in kept]
+
+    model = langid.Classifier(langid.learn_dictionaries(spark, kept[0], F.lit(True)))
+    want = []
+    for i, text, lang, source, n in start:
+        if text and regex.search(r"\p{L}", text):
+            raw = text.lower().encode()
+            sizes = sorted((sum(len(c.compress(raw[a : a + 2048])) for a in range(0, len(raw), 2048)) + (sum(len(c.compress(raw[len(raw) * k // 4 :])) for k in (1, 2, 3) if len(raw) * k // 4) if len(raw) < 256 else 0), name) for name, c in model.by_lang.items())
+            if len(raw) < 256 or 1 - sizes[0][0] / sizes[1][0] >= P.MIN_MARGIN:
+                want.append((i, text, lang or sizes[0][1], source, n))
+    assert Counter(told) == Counter(want) and len(told) > 0.95 * len(start)
+
+    texts = sorted({t for _, t, *_ in told})
+    sets = [set(zip(*[t.lower().split()[k:] for k in range(5)])) if len(t.split()) >= 5 else {tuple(t.lower().split())} for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sharing = {}
+    for i, own in enumerate(sets):
+        for x in own:
+            sharing.setdefault(x, []).append(i)
+    for i, j in {(i, j) for own in sharing.values() for i in own for j in own if j < i}:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[top(i)] = top(j)
+    groups = {}
+    for r in told:
+        groups.setdefault(top(texts.index(r[1])), []).append(r)
+    assert len(apart) == len(groups) and {top(texts.index(r[1])) for r in apart} == set(groups)
+    first = {g: min(r[0] for r in own if r[0] is not None) for g, own in groups.items() if any(r[0] is not None for r in own)}
+    assert all(r[0] == first.get(top(texts.index(r[1]))) for r in apart)
+
+    before, after = {r[0]: r for r in apart}, {r[0]: r for r in masked}
+    assert before.keys() == after.keys() and len(masked) == len(apart)
+    alone = {r.doc_id: r.text for r in pii.pseudonymise(kept[2], pii.key_of(spark)).collect()}
+    for i, r in after.items():
+        assert r[1] == alone[i] and r[2:4] == before[i][2:4] and r[4] == (None if before[i][4] is None else len(r[1]))
+    assert "jo.day@" not in after[None][1] and "555-0199" not in after[None][1] and after[None][1].endswith("before noon, or not at all.")
+
+    con = duckdb.connect()
+    con.register("documents", kept[3].toArrow())
+    taken = {i: (t // size if size else 0) for i, size, t in con.sql(f"SELECT doc_id, size, taken FROM ({mixing.oracle()})").fetchall()}
+    assert Counter(mixed) == Counter({r: taken[r[0]] for r in masked if taken[r[0]]})
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = Counter()
+    for i, text, *_ in mixed:
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        pieces.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    got, filled = P.STAGES[-1][1](spark, kept[4], sf).collect(), {}
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 2048
+
+
+def test_quality_query_against_brute_force(spark, sf):
+    """Every score is the sum over all pairs of features, worked out one text at a time; held-out labels are told."""
+    from tidemark.llm import queries
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.train(spark, docs, labels.select("doc_id", "quality"), ~langid.held_out(F.col("doc_id"), 4, 2))
+    f, texts = quality.Features(), {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op9_quality(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7)
+    for r in got[:60]:
+        ids, x, _ = model.rows([f(texts[r.doc_id])])
+        dots = (model.v[ids] * x[:, None]) @ (model.v[ids] * x[:, None]).T
+        raw = model.w0 + (model.w[ids] * x).sum() + (dots.sum() - np.trace(dots)) / 2
+        assert abs(1 / (1 + np.exp(-raw)) - r.score) < 1e-9
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    told = [r.predicted == label[r.doc_id] for r in got if r.held_out and label.get(r.doc_id) is not None]
+    assert sum(told) >= 0.85 * len(told) > 0
+
+
+def test_samples_are_bounded_by_ids(spark):
+    """One doc_id on a third of all rows, each with a text of its own, is one row of a sample."""
+    rows = [(1, f"the same id with text {i} again", "en", 1) for i in range(300)] + [(2 + i, f"un autre texte {i}" if i % 2 else f"another text {i}", "fr" if i % 2 else "en", i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int").repartition(4)
+    found = langid.learn_dictionaries(spark, df, F.lit(True), sample_docs=400)
+    assert found["en"].count(b"the same id") == 1 and found["en"].count(b"another text") == found["fr"].count(b"un autre") == 300
+    model = quality.train(spark, df.select("doc_id", "text"), df.select("doc_id", "quality"), F.lit(True))
+    once = quality.train(spark, df.groupBy("doc_id").agg(F.min("text").alias("text")), df.select("doc_id", "quality"), F.lit(True))
+    assert np.array_equal(model.w, once.w) and np.array_equal(model.v, once.v)
+
+
 @pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cuts_give_the_librarys_ids(name, spaced):
     from tidemark.llm.tokenize import Encoder
