@@ -143,10 +143,11 @@ def memory_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
-def cache_key(kb: Column, document: Column, mode: Column, question: Column, version: str = "v1") -> Column:
-    """SHA-256 of a request: its scope, mode and question, cases and runs of space aside."""
-    flat = F.lower(F.trim(F.regexp_replace(question, r"\s+", " ")))
-    return F.sha2(F.concat_ws("\x1f", F.lit(version), F.coalesce(kb.cast("string"), F.lit("\x00")), F.coalesce(document.cast("string"), F.lit("\x00")), mode, flat), 256)
+def cache_key(kb: Column, document: Column, mode: Column, question: Column, version: str = "v2") -> Column:
+    """The key of a request: SHA-256 of its scope, mode and question as JSON, cases and runs of space aside."""
+    flat = F.replace(F.lower(F.trim(F.regexp_replace(question, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
+    request = F.struct(document.cast("string").alias("document_id"), kb.cast("string").alias("knowledge_base_id"), flat.alias("query"), mode.alias("retrieval_mode"), F.lit(version).alias("version"))
+    return F.concat(F.lit(f"rag:context:{version}:"), F.sha2(F.to_json(request, {"ignoreNullFields": "false"}), 256))
 
 
 def rerank_text(text: Column, section: Column, kinds: Column) -> Column:

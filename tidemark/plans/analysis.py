@@ -132,7 +132,7 @@ def numeric_claims(spark, sf_dir):
     return o.select("o_orderkey", F.size(Q.numeric_claims(F.col("t"))).alias("n"), Q.without_claims(F.col("t"), "#").alias("masked"))
 
 
-@query("""SELECT c_custkey, sha256(concat_ws(chr(31), 'v1', CAST(c_nationkey AS VARCHAR), chr(0), 'auto', 'orders of ' || lower(c_name))) AS key FROM customer""")
+@query("""SELECT c_custkey, 'rag:context:v2:' || sha256('{"document_id":null,"knowledge_base_id":"' || c_nationkey || '","query":"orders of ' || lower(c_name) || '","retrieval_mode":"auto","version":"v2"}') AS key FROM customer""")
 def retrieval_cache_keys(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", Q.cache_key(F.col("c_nationkey"), F.lit(None), F.lit("auto"), F.concat(F.lit("  Orders\t of "), "c_name")).alias("key"))
