@@ -30,7 +30,11 @@ def learn_dictionaries(spark: SparkSession, docs: DataFrame, usable: Column, dic
     small_batches(spark)
     of_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= dictionary_bytes // 8))
-    picked = rows.select("lang", "doc_id").withColumn("nth", F.dense_rank().over(of_lang)).where(F.col("nth") <= sample_docs).distinct()
+    # The least ids of a language come from those of its groups of partitions: no task sees more than a share of a common language.
+    share = (F.spark_partition_id() % 16).alias("share")
+    of_share = Window.partitionBy("lang", "share").orderBy(F.xxhash64("doc_id"), "doc_id")
+    least = rows.select("lang", "doc_id", share).withColumn("nth", F.dense_rank().over(of_share)).where(F.col("nth") <= sample_docs).select("lang", "doc_id").distinct()
+    picked = least.withColumn("nth", F.row_number().over(of_lang)).where(F.col("nth") <= sample_docs)
     ids = {(r.lang, r.doc_id): r.nth for r in picked.collect()}  # sample_docs ids a language at most
     found: dict[str, list] = {}
     wanted = rows.where(F.col("doc_id").isin([d for _, d in ids])).select("lang", "doc_id", "text")
