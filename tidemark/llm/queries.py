@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, langid, mixing, packing, pii, quality, simhash, token_planes, warc, weighted_sampling
+from tidemark.llm import ann, langid, merkle, mixing, packing, pii, quality, simhash, token_planes, warc, weighted_sampling
 from tidemark.llm.common import shared_dir, table, written
 
 
@@ -70,8 +70,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, docs, model, 0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op8_warc": op8_warc, "op9_quality": op9_quality, "op7_mixing": op7_mixing, "op10_pii": op10_pii, "op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.oracle(), "op8_warc": warc.ORACLE}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, checked against a copy in which every seventh document is tampered with."""
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(spark, table(spark, sf_dir, "documents"), seventh).drop("proof")
+
+
+QUERIES = {"op11_merkle": op11_merkle, "op8_warc": op8_warc, "op9_quality": op9_quality, "op7_mixing": op7_mixing, "op10_pii": op10_pii, "op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.oracle(), "op8_warc": warc.ORACLE, "op11_merkle": merkle.ORACLE}
 
 
 def queries() -> dict:
