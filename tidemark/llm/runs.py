@@ -264,8 +264,9 @@ def planted(doc_id: Column, text: Column) -> Column:
     g = F.floor(h / 10).cast("long")
     a = (g % F.greatest(n, F.lit(1))).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    turned = F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + F.pmod(i - a, p)))), " ")
-    return F.when((h % 10 == 0) & (n > 0), turned).otherwise(text)
+    turns = F.ceil((n - a) / p).cast("int")
+    turned = F.slice(F.concat(F.slice(words, 1, a), F.flatten(F.array_repeat(F.slice(words, a + 1, p), turns))), F.lit(1), n)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(turned, " ")).otherwise(text)
 
 
 def report(found: DataFrame) -> DataFrame:
