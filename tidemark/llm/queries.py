@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, langid, merkle, mixing, packing, pii, quality, runs, simhash, token_planes, warc, weighted_sampling
+from tidemark.llm import ann, langid, merkle, mixing, packing, pii, quality, runs, simhash, substrings, token_planes, warc, weighted_sampling
 from tidemark.llm.common import shared_dir, table, written
 
 
@@ -82,7 +82,12 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.find_runs(spark, docs.select("doc_id", runs.planted(F.col("doc_id"), F.col("text")).alias("text"))))
 
 
-QUERIES = {"op13_runs": op13_runs, "op11_merkle": op11_merkle, "op8_warc": op8_warc, "op9_quality": op9_quality, "op7_mixing": op7_mixing, "op10_pii": op10_pii, "op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the bytes of 100-byte strings that stand earlier in the corpus."""
+    return substrings.report(substrings.remove_repeats(spark, table(spark, sf_dir, "documents"), 100))
+
+
+QUERIES = {"op12_suffix_dedup": op12_suffix_dedup, "op13_runs": op13_runs, "op11_merkle": op11_merkle, "op8_warc": op8_warc, "op9_quality": op9_quality, "op7_mixing": op7_mixing, "op10_pii": op10_pii, "op6_fingerprints": op6_fingerprints, "op5_simhash": op5_simhash, "op3_langid": op3_langid, "op4_ann": op4_ann, "op2_packing": op2_packing, "op1_token_planes": op1_token_planes}
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.oracle(), "op8_warc": warc.ORACLE, "op11_merkle": merkle.ORACLE}
 
 
