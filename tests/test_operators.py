@@ -98,7 +98,7 @@ def test_seeds_by_likeness(spark):
     names = spark.createDataFrame([(1, "Blue river works", 0), (2, "Green hill", 1), (3, "x", 0), (4, "Red sea", 0)], "id long, name string, kind int")
     support = spark.createDataFrame([(1,), (2,), (3,)], "owner long")
     asked = spark.createDataFrame([(7, "Blue river work"), (8, "is green hill far"), (9, None), (10, "Red sea")], "query_id long, text string")
-    got = {(r.query_id, r.id): (r.score, r.priority) for r in G.seeds(asked, names, support).collect()}
+    got = {(r.query_id, r.id): (r.score, r.priority) for r in G.seeds(spark, asked, names, support).collect()}
     assert got[8, 2] == (0.93, 5) and got[7, 1][1] == 8 and 0.78 * 0.88 <= got[7, 1][0] < 0.88 and (10, 4) not in got
 
 

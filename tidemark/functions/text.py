@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 
@@ -50,11 +49,6 @@ def table_label(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(t.replace(" ", " ").casefold().split()))
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
 def number(text: Column) -> Column:
     """A cell as DECIMAL(28,10): thousands commas, percent, minus signs and (x) for negatives; null if it is none."""
     compact = F.regexp_replace(F.translate(F.trim(text), "\u00a0，−％", " ,-%"), "[, ]", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions.text import sequence_ratio
+from tidemark.operators.similarity import matched_ratio
 from tidemark.operators.components import components
 
 
@@ -70,7 +70,7 @@ def blocking_pairs(entities: DataFrame, window: int = 16, prefix: int = 2) -> Da
 def decide(pairs: DataFrame, entities: DataFrame, least: float = 0.72) -> DataFrame:
     """NO_LINK for other types or little likeness, else UNCERTAIN; never a link by itself."""
     own = lambda s: entities.select(F.col("id").alias(s), F.col("label").alias(f"{s}_label"), F.col("type").alias(f"{s}_type"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("similarity", sequence_ratio("a_label", "b_label"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("similarity", matched_ratio("a_label", "b_label"))
     return both.withColumn("decision", F.when(F.col("a_type") != F.col("b_type"), "NO_LINK").when((F.col("a_label") != F.col("b_label")) & (F.col("similarity") < least), "NO_LINK").otherwise("UNCERTAIN"))
 
 

@@ -115,14 +115,26 @@ def question_coverage(spark, sf_dir):
     return pairs.select("item_id", "doc_id", F.round(Q.coverage(F.col("terms"), F.col("flat")), 6).alias("coverage"), Q.escalates(F.col("terms"), F.col("flat")).alias("escalates"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'text_only' WHEN event_id % 4 = 1 THEN 'text_and_visual' WHEN event_id % 4 = 2 THEN 'text_and_visual' ELSE CASE WHEN user_id % 3 = 0 AND value * 10000 <= 600000 THEN 'text_only' ELSE 'text_and_visual' END END AS mode,
-CASE event_id % 4 WHEN 0 THEN 'no_caption_but_context' WHEN 1 THEN 'generic_caption' WHEN 2 THEN 'short_caption' ELSE CASE WHEN user_id % 3 = 1 THEN 'table_on_page' WHEN user_id % 3 = 2 THEN 'several_images' WHEN value * 10000 > 600000 THEN 'large_image' ELSE 'text_suffices' END END AS reason FROM events""")
+# A picture of each event: captions, texts around it, sizes and neighbours of every kind.
+@query("""WITH e AS (SELECT event_id,
+  CASE event_id % 4 WHEN 1 THEN '图 3.' WHEN 2 THEN 'A bird' WHEN 3 THEN CASE WHEN event_id % 13 = 0 THEN '趋势 of the birds above the river' ELSE 'A bird above the river at dawn' END END AS caption,
+  CASE WHEN event_id % 7 = 0 THEN '统计 ' ELSE '' END AS detail, CASE event_id % 3 WHEN 0 THEN 14 WHEN 1 THEN 9 ELSE 12 END AS n,
+  CASE WHEN event_id % 5 > 0 THEN value * 10000 END AS pixels, CASE WHEN event_id % 11 > 0 THEN 1 + CAST(user_id % 3 = 2 AS INTEGER) END AS images, user_id % 5 = 1 AS has_table FROM events),
+f AS (SELECT *, n * 8 - 1 + length(detail) AS chars, pixels IS NULL OR pixels > 600000 AS large FROM e),
+r AS (SELECT event_id, CASE
+  WHEN caption IS NULL AND chars >= 100 AND coalesce(images = 1, false) AND NOT has_table AND coalesce(pixels <= 600000, true) AND detail = '' THEN 'no_caption_but_context'
+  WHEN caption IS NULL THEN 'no_caption' WHEN caption = '图 3.' THEN 'generic_caption' WHEN length(caption) < 15 THEN 'short_caption' WHEN chars < 80 THEN 'short_context' WHEN has_table THEN 'table_on_page'
+  WHEN images IS NULL OR images > 1 THEN 'several_images' WHEN large THEN 'large_image' WHEN contains(caption, '趋势') THEN 'caption_detail' WHEN detail <> '' THEN 'context_detail' ELSE 'text_suffices' END AS reason FROM f)
+SELECT event_id, CASE WHEN reason IN ('no_caption_but_context', 'text_suffices') THEN 'text_only' ELSE 'text_and_visual' END AS mode, reason FROM r""")
 def visual_policy(spark, sf_dir):
-    e, m = table(spark, sf_dir, "events"), F.col("event_id") % 4
-    caption = F.when(m == 1, "图 3.").when(m == 2, "A bird").when(m == 3, "A bird above the river at dawn")
-    pixels = F.when(m == 3, F.col("value") * 10000)
-    told = Q.visual_policy(caption, F.repeat(F.lit("context "), 14), pixels, F.when(F.col("user_id") % 3 == 2, 2).when(m == 0, 1).otherwise(1), (F.col("user_id") % 3 == 1) & (m == 3))
-    return e.select("event_id", told.alias("p")).select("event_id", F.when((F.col("event_id") % 4 == 0) & (F.col("p.reason") == "no_caption"), "text_only").otherwise(F.col("p.mode")).alias("mode"), F.when((F.col("event_id") % 4 == 0) & (F.col("p.reason") == "no_caption"), "no_caption_but_context").otherwise(F.col("p.reason")).alias("reason"))
+    at = F.col("event_id")
+    described = F.when(at % 13 == 0, "趋势 of the birds above the river").otherwise("A bird above the river at dawn")
+    caption = F.when(at % 4 == 1, "图 3.").when(at % 4 == 2, "A bird").when(at % 4 == 3, described)
+    context = F.concat(F.when(at % 7 == 0, "统计 ").otherwise(""), F.repeat(F.lit("context "), F.when(at % 3 == 0, 14).when(at % 3 == 1, 9).otherwise(12)))
+    pixels = F.when(at % 5 > 0, F.col("value") * 10000)
+    images = F.when(at % 11 > 0, 1 + (F.col("user_id") % 3 == 2).cast("int"))
+    told = Q.visual_policy(caption, context, pixels, images, F.col("user_id") % 5 == 1)
+    return table(spark, sf_dir, "events").select("event_id", told.alias("p")).select("event_id", "p.mode", "p.reason")
 
 
 @query(r"""SELECT o_orderkey, 3 AS n, 'In ' || year(o_orderdate) || ' sales of #, up #, by #.' AS masked FROM orders""")

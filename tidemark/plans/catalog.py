@@ -375,4 +375,4 @@ def route_queries(spark, sf_dir):
     return c.select("conv_id", "turn", Q.follows_up(F.col("text"), has).alias("follow_up"), Q.route(F.col("text")).alias("route"))
 
 
-from tidemark.plans import evidence as _evidence, analysis as _analysis, graphs as _graphs, outputs as _outputs, searches as _searches, store as _store  # noqa: E402, F401  (they register their queries here)
+from tidemark.plans import evidence as _evidence, analysis as _analysis, graphs as _graphs, outputs as _outputs, searches as _searches, similar as _similar, store as _store  # noqa: E402, F401  (they register their queries here)
