@@ -316,8 +316,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 100, stri
     known = written(spark, seen.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "tie", "place").mapInArrow(_resolve, _KNOWN), "repeats")
 
     asks = known.where("anchor IS NOT NULL")
+    # A common anchor's stretches are dealt to 16 tasks before they learn how many there are.
+    salted = asks.withColumn("salt", F.pmod("content", F.lit(16)).cast("int"))
     many = asks.groupBy("anchor").agg(F.ceil(F.count("*") / strings_a_part).alias("parts")).where("parts > 1")
-    asks = asks.join(many, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+    asks = salted.join(many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["anchor", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
     asks = asks.withColumn("part", F.pmod("content", "parts")).groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "part", "parts", "first", "n")).alias("asks"))
     bodies = texts.mapInArrow(_packed, "doc long, tie long, body binary")
     cut = bodies.dropDuplicates(["doc", "tie"]).join(asks, ["doc", "tie"]).select("doc", "tie", "body", "asks").mapInArrow(_cut(length), "anchor long, part long, parts long, doc long, tie long, first long, bytes binary")
