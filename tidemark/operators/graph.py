@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators.similarity import matched_ratio
 from tidemark.operators.components import components
+from tidemark.operators.ordering import numbered
+from tidemark.operators.similarity import matched_ratio
+from tidemark.sources.tables import written
 
 
 def supported(nodes: DataFrame, support: DataFrame, key: str = "id") -> DataFrame:
@@ -47,24 +49,37 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int = 2, **caps) -> DataFrame
     return every
 
 
-def prefix_pairs(entities: DataFrame, window: int = 16, prefix: int = 2) -> DataFrame:
+def prefix_pairs(spark: SparkSession, entities: DataFrame, window: int = 16, prefix: int = 2) -> DataFrame:
     """(a, b), a < b: entities within ``window`` places in their prefix's order of labels.
 
-    The places of a prefix are numbered once; a pair meets where one place is
-    at most ``window`` after the other, by an equi-join on shifted places.
+    Places are numbered over ranges of labels, so no prefix is sorted in one
+    task; a pair meets where one place is at most ``window`` after the other, by an
+    equi-join on shifted places. Null labels are of no prefix.
     """
-    w = Window.partitionBy("p").orderBy("label", "id")
-    placed = entities.select("id", "label", F.substring("label", 1, prefix).alias("p")).withColumn("at", F.row_number().over(w))
-    left = placed.select("p", F.col("id").alias("x"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + window)).alias("at"))
-    near = left.join(placed.select("p", "at", F.col("id").alias("y")), ["p", "at"])
+    known = entities.where("label IS NOT NULL").select("id", "label", F.substring("label", 1, prefix).alias("p"))
+    placed = written(spark, numbered(spark, known, "p", "label", "id").select("p", "id", "place"), "places")
+    left = placed.select("p", F.col("id").alias("x"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + window)).alias("place"))
+    near = left.join(placed.select("p", "place", F.col("id").alias("y")), ["p", "place"])
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def blocking_pairs(entities: DataFrame, window: int = 16, prefix: int = 2) -> DataFrame:
-    """(a, b), a < b: all entities of equal label, however many have it, and those of ``prefix_pairs``."""
-    left, right = entities.select(F.col("id").alias("a"), "label"), entities.select(F.col("id").alias("b"), "label")
-    same = left.join(right, "label").where("a < b").select("a", "b")
-    return same.union(prefix_pairs(entities, window, prefix)).distinct()
+def label_classes(entities: DataFrame) -> DataFrame:
+    """(label, n, least): the entities of each label, counted."""
+    return entities.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+
+
+def blocking_pairs(spark: SparkSession, entities: DataFrame, window: int = 16, prefix: int = 2, most: int = 64) -> DataFrame:
+    """(a, b), a < b: entities of equal label, and those of ``prefix_pairs``.
+
+    Up to ``most`` entities of a label meet all with all. More of them are each
+    tied to the smallest one (``label_classes`` tells how many there are), so pairs
+    never grow with the square of a label.
+    """
+    sized = entities.join(label_classes(entities), "label")
+    few = sized.where(F.col("n") <= most)
+    same = few.select(F.col("id").alias("a"), "label").join(few.select(F.col("id").alias("b"), "label"), "label").where("a < b").select("a", "b")
+    many = sized.where((F.col("n") > most) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return same.union(many).union(prefix_pairs(spark, entities, window, prefix)).distinct()
 
 
 def decide(pairs: DataFrame, entities: DataFrame, least: float = 0.72) -> DataFrame:

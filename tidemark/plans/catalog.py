@@ -262,14 +262,15 @@ def graph_orphans(spark, sf_dir):
 @query("""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS label, row_number() OVER (PARTITION BY substr(lower(p_name), 1, 2) ORDER BY lower(p_name), p_partkey) AS at, substr(lower(p_name), 1, 2) AS p FROM part)
 SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM p x JOIN p y ON x.p = y.p AND y.at > x.at AND y.at <= x.at + 16""")
 def blocking_pairs(spark, sf_dir):
-    return graph.prefix_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label")))
+    return graph.prefix_pairs(spark, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label")))
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS label, row_number() OVER (PARTITION BY substr(lower(p_name), 1, 2) ORDER BY lower(p_name), p_partkey) AS at, substr(lower(p_name), 1, 2) AS p FROM part)
 SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM p x JOIN p y ON x.p = y.p AND y.at > x.at AND y.at <= x.at + 16
-UNION SELECT x.id, y.id FROM p x JOIN p y ON x.label = y.label AND x.id < y.id""")
+UNION SELECT x.id, y.id FROM p x JOIN p y ON x.label = y.label AND x.id < y.id WHERE x.label IN (SELECT label FROM p GROUP BY label HAVING count(*) <= 64)
+UNION SELECT least, id FROM (SELECT id, min(id) OVER (PARTITION BY label) AS least, count(*) OVER (PARTITION BY label) AS n FROM p) WHERE n > 64 AND id <> least""")
 def linking_pairs(spark, sf_dir):
-    return graph.blocking_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label")))
+    return graph.blocking_pairs(spark, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label")))
 
 
 @query("SELECT s_suppkey AS node, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS root FROM supplier QUALIFY count(*) OVER (PARTITION BY s_nationkey) > 1")
@@ -375,4 +376,4 @@ def route_queries(spark, sf_dir):
     return c.select("conv_id", "turn", Q.follows_up(F.col("text"), has).alias("follow_up"), Q.route(F.col("text")).alias("route"))
 
 
-from tidemark.plans import evidence as _evidence, analysis as _analysis, graphs as _graphs, outputs as _outputs, searches as _searches, similar as _similar, store as _store, streams as _streams, versions as _versions  # noqa: E402, F401  (they register their queries here)
+from tidemark.plans import evidence as _evidence, analysis as _analysis, graphs as _graphs, links as _links, outputs as _outputs, searches as _searches, similar as _similar, store as _store, streams as _streams, versions as _versions  # noqa: E402, F401  (they register their queries here)
