@@ -135,12 +135,10 @@ def extrapolated(measured: DataFrame, whole: int, sample_column: str, totals: li
     return measured.agg(*[F.round(F.when(F.count(t) == F.count("*"), F.sum(t) * scale), 4).alias(t) for t in totals])
 
 
-def chunk_summary(chunks: DataFrame) -> DataFrame:
-    """One row over chunks (document_id, section, n_chars, blocks): counts, sizes, and how they keep to the limits."""
-    q = lambda p: F.round(F.percentile("n_chars", p), 3)
-    return chunks.agg(
-        F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum("n_chars").alias("chars"), F.min("n_chars").alias("least"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.max("n_chars").alias("most"),
-        F.count_if(F.col("n_chars") > 1600).alias("over"), F.count_if(F.col("n_chars") < 240).alias("small"), F.count_if(F.size("blocks") == 1).alias("single_block"), F.max(F.size("blocks")).alias("most_blocks"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty"))
+def spread(value: str, name: str) -> list[Column]:
+    """Least, median, three interpolated quantiles and most of a value."""
+    q = lambda p: F.round(F.percentile(value, p), 3)
+    return [F.min(value).alias(f"{name}_min"), q(0.5).alias(f"{name}_median"), q(0.75).alias(f"{name}_p75"), q(0.9).alias(f"{name}_p90"), q(0.95).alias(f"{name}_p95"), F.max(value).alias(f"{name}_max")]
 
 
 def facts_met(answer: Column, facts: Column) -> Column:

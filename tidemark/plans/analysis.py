@@ -285,9 +285,3 @@ def ngram_similarity(spark, sf_dir):
     return both.select("doc_id", F.size(F.array_union(a, b)).cast("long").alias("all_grams"), F.round(T.jaccard(a, b), 6).alias("similarity"))
 
 
-@query()
-def chunk_statistics(spark, sf_dir):
-    from tidemark.operators import chunking
-    from tidemark.plans.catalog import _blocks
-
-    return E.chunk_summary(chunking.chunk(_blocks(spark, sf_dir)))
