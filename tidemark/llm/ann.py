@@ -149,13 +149,16 @@ def probes(q: np.ndarray, c: np.ndarray, edges: np.ndarray, ratio: float, least:
 def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: int, recall: float, worst: float, replicas: int, replica_ratio: float, apart: float, queries: int = 512) -> tuple[float, float]:
     """(probe ratio, median distance of the nearest list): the least ratio at which, on the sample itself, queries find ``recall`` of brute force's k nearest on average, and 19 of 20 queries ``worst`` of theirs."""
     at = np.unique(np.linspace(0, len(v) - 1, min(queries, len(v))).astype(int))
-    score = v[at] @ v.T
-    score[np.arange(len(at)), at] = -np.inf
     m = min(k, len(v) - 1)
     if m < 1 or len(c) == 1:
         return 1.0, 0.0
-    top = np.argpartition(-score, m - 1, axis=1)[:, :m]
-    row, own = lists_of(_lifted(v[top.ravel()], norm, False), c, edges, 24, replica_ratio, replicas, apart)
+    top = np.empty((len(at), m), np.int64)
+    for low in range(0, len(at), 32):  # a few queries at a time against the whole sample
+        score = v[at[low : low + 32]] @ v.T
+        score[np.arange(len(score)), at[low : low + 32]] = -np.inf
+        top[low : low + 32] = np.argpartition(score, len(v) - m, axis=1)[:, len(v) - m :]
+    found = [lists_of(_lifted(v[top.ravel()[low : low + 256]], norm, False), c, edges, 24, replica_ratio, replicas, apart) for low in range(0, top.size, 256)]
+    row, own = np.concatenate([r + 256 * k for k, (r, _) in enumerate(found)]), np.concatenate([o for _, o in found])
     q = _lifted(v[at], norm, True)
     d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1) - 2 * q @ c.T, 0))
     least = float(np.median(d.min(1)))
