@@ -254,9 +254,13 @@ def test_similar_groups_against_brute_force(spark, docs, empty):
         return root
 
     want = groups(alike)
-    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, df, exact=False).collect()}
     assert all(want[i] == want[found[i]] for i in found)  # no link that the sets deny
     assert sum(found[i] == found[j] for i, j in alike) >= 0.95 * len(alike)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(spark, df).collect()} == dict(enumerate(want))  # and none lost
+    blind = simhash.similar_groups(spark, df, steps=(0,))  # fingerprints that link next to nothing: the prefix filter finds all
+    assert {r.doc_id: r.component_id for r in blind.collect()} == dict(enumerate(want))
     assert len(simhash.similar_groups(spark, docs.where("doc_id is not null")).collect()) == len(ROWS) - 1
     assert simhash.similar_groups(spark, empty).count() == 0
 

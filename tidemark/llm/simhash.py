@@ -70,19 +70,33 @@ def _names(words: int) -> list[str]:
     return ["fp", *(f"fp{i}" for i in range(1, words))]
 
 
-def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1, ...) of every row, each fp a signed long of 64 bits. A null text has no words."""
+def _set_id(distinct: np.ndarray) -> int:
+    """A signed 64-bit hash of a sorted set of shingles."""
+    return xxhash.xxh3_64_intdigest(distinct.tobytes()) - (1 << 63)
+
+
+def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 3, words: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, fp, fp1, ...) of every row, each fp a signed long of 64 bits. A null text has no words. ``sets`` adds node, which tells its set of shingles, and size."""
     small_batches(spark)
     names = _names(words)
 
+    def run_sets(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.column(1):
+                raw = t.as_py()
+                own = np.unique(shingles(raw, shingle))
+                rows.append((*fingerprint(raw, shingle, words=words).view(np.int64).tolist(), _set_id(own), len(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (words + 2)))], names=["doc_id", *names, "node", "size"])
+
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, words=words) for t in batch.column(1)], np.uint64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(words))], names=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in names)])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in [*names, *(("node", "size") if sets else ())])])
+    return docs.select("doc_id", "text").mapInArrow(run_sets if sets else run, schema)
 
 
 def _statistics(distinct: DataFrame, words: int) -> tuple[int, np.ndarray]:
@@ -297,6 +311,90 @@ def contracted(pairs: DataFrame) -> DataFrame:
     return up.join(smallest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
+def _common_shingles(spark: SparkSession, docs: DataFrame, shingle: int, rows: int, least: int = 3, most: int = 1 << 19) -> np.ndarray:
+    """Hashes, sorted, of shingles that ``least`` of a sample of about ``rows`` texts have; ``most`` at most. They only order tokens: any list gives the same links, a good one fewer candidates."""
+    n = docs.count()
+    share = min(1.0, rows / max(n, 1))
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingles(t.as_py(), shingle)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, "<u8")]).view(np.int64))], names=["token"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct()
+    counted = sample.mapInArrow(sets, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["token"] for r in counted.orderBy(F.desc("n"), "token").limit(most).select("token").collect()], np.int64).view(np.uint64))
+
+
+def _depth(n: int) -> int:
+    """How many tokens two sets have to share in their prefixes: more of them makes the prefixes longer and the candidates fewer."""
+    return n // 25 + 1
+
+
+def _prefix_rows(least: float, shingle: int, common: np.ndarray):
+    def found(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            tokens, nodes = [], []
+            for t in batch.column(0):
+                own = np.unique(shingles(t.as_py(), shingle))
+                node = _set_id(own)
+                if not len(own) or node in seen:
+                    continue
+                if len(seen) < 1 << 16:
+                    seen.add(node)
+                often = np.isin(own, common, assume_unique=True)
+                first = np.r_[own[~often], own[often]][: len(own) - int(np.ceil(least * len(own) - 1e-9)) + _depth(len(own))]
+                tokens.append(first.view(np.int64))
+                nodes.append(np.full(len(first), node, np.int64))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], names=["token", "node"])
+
+    return found
+
+
+def _shared(batches):
+    """Rows (token, node) in order -> those of tokens that several nodes have, once each."""
+    last, told = None, False  # the last row, and whether it was given out
+    for batch in batches:
+        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        if last is not None:
+            rows = np.c_[last, rows]
+        new = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)] if rows.shape[1] else np.zeros(0, bool)
+        rows = rows[:, new]
+        if not rows.shape[1]:
+            continue
+        same = rows[0, 1:] == rows[0, :-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        out = keep.copy()
+        if last is not None and told:
+            out[0] = False
+        told = bool(keep[-1]) or (rows.shape[1] == 1 and last is not None and told)
+        last = rows[:, -1:]
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0, out]), pa.array(rows[1, out])], names=["token", "node"])
+
+
+def left_out(spark: SparkSession, docs: DataFrame, roots: DataFrame, shingle: int, least: float, sample_rows: int = 20_000) -> DataFrame:
+    """(a, b): candidates between nodes of different roots, among them every pair of sets (roots: node, size, root) of Jaccard similarity ``least`` or more.
+
+    Prefix filter: shingles in one order, rare ones first; if two sets share
+    c shingles, their first size - c + d share d. Only shingles that several
+    sets have there are looked at further, so what fingerprints have linked already costs nothing.
+    """
+    small_batches(spark)
+    common = _common_shingles(spark, docs, shingle, sample_rows)
+    rows = docs.select("text").mapInArrow(_prefix_rows(least, shingle, common), "token long, node long")
+    shared = rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long")
+    told = written(spark, shared.join(roots, "node"), "prefixes")
+    several = told.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    apart = told.join(several, "token", "left_semi")
+    a, b = (apart.select("token", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("size").alias(f"n{k}")) for k in "ab")
+    pairs = a.join(b, "token").where("a < b AND ra <> rb").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    depth = F.floor(F.least("na", "nb") / 25) + 1
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") >= depth).select("a", "b")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links of at most tau bits reach.
 
@@ -313,7 +411,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, tau:
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, words: int = 12, parts: int = 4, verified: int = 4, steps: tuple[int, ...] = (26, 52)) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, words: int = 12, parts: int = 4, verified: int = 4, steps: tuple[int, ...] = (26, 52), exact: bool = True) -> DataFrame:
     """(doc_id, component_id) of rows that links of similarity ``least`` or more reach: component_id is the smallest doc_id there.
 
     doc_id may be of any type that has an order; rows of equal doc_id should be
@@ -327,21 +425,34 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, least
     under ``least``. Nearer pairs (``steps[0]``) are linked first, so a pair
     that fails joins two groups that hold together without it.
 
-    Rows without words are alike; rows of one fingerprint are one node, so
+    Then, with ``exact``, a prefix filter over the sets finds the pairs between
+    groups that share no key or fail the cut (``left_out``), so that no link is lost.
+
+    Rows without words are alike; rows of one set of shingles are one node, so
     copies cost nothing beyond a count; null texts have no words; extra
     columns are not read; an empty table stays empty.
     """
     names = _names(words)
-    own = written(spark, fingerprints(spark, docs, shingle, words), "fingerprints")
-    grouped = own.groupBy(*names).agg(F.min("doc_id").alias("least_id"))
-    distinct = written(spark, grouped.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    found = written(spark, links(spark, distinct.drop("least_id"), parts - 1, words=words, steps=steps, parts=parts, verified=verified), "candidates")
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    named = distinct.join(ends, "node").select("node", F.col("least_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(named, "doc_id").dropDuplicates(["node"])
-    near = written(spark, similar_pairs(spark, found, texts, shingle, least), "near")
-    nodes = components(spark, written(spark, contracted(contracted(near)), "contracted"))
-    rooted = distinct.join(nodes, "node", "left").select(*names, "least_id", F.coalesce("root", "node").alias("root"))
-    component = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = written(spark, rooted.join(component, "root").select(*names, "component_id"), "classes")
-    return own.join(classes, names).select("doc_id", "component_id")
+    own = written(spark, fingerprints(spark, docs, shingle, words, sets=True), "fingerprints")
+    grouped = own.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), F.min(F.struct(*names)).alias("fps"))
+    distinct = written(spark, grouped.select("node", "least_id", "size", "fps.*"), "distinct")
+    found = written(spark, links(spark, distinct.drop("least_id", "size"), parts - 1, words=words, steps=steps, parts=parts, verified=verified), "candidates")
+
+    def verified_links(found: DataFrame) -> DataFrame:
+        ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        named = distinct.join(ends, "node").select("node", F.col("least_id").alias("doc_id"))
+        texts = docs.select("doc_id", "text").join(named, "doc_id").dropDuplicates(["node"])
+        return written(spark, similar_pairs(spark, found, texts, shingle, least), "near")
+
+    def rooted(near: DataFrame) -> DataFrame:
+        nodes = components(spark, written(spark, contracted(contracted(near)), "contracted"))
+        return distinct.join(nodes, "node", "left").select("node", "size", "least_id", F.coalesce("root", "node").alias("root"))
+
+    near = verified_links(found)
+    if exact:
+        rest = written(spark, left_out(spark, docs, written(spark, rooted(near).select("node", "size", "root"), "roots"), shingle, least), "left-out")
+        near = near.unionByName(verified_links(rest))
+    groups = rooted(near)
+    component = groups.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = written(spark, groups.join(component, "root").select("node", "component_id"), "classes")
+    return own.join(classes, "node").select("doc_id", "component_id")
