@@ -44,44 +44,46 @@ def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
 def exact_knn(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 5, block: int = 2048) -> DataFrame:
     """query_id, rank, doc_id, score: cosine of every query (query_id, v) with every row (doc_id, v) but itself.
 
-    Queries go in blocks of ``block``, so what a task holds is bounded; each
-    task keeps its k best. Zero vectors and null ones take no part.
+    Queries and rows are dealt to blocks of about ``block``; each block of
+    queries goes to each block of rows, so one join has all the work, whatever their
+    numbers, and a task holds two blocks. Each task keeps its k best of a query.
+    Zero vectors and null ones take no part.
     """
-    ids = [r[0] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]
-    found = None
-    for at in range(0, len(ids), block):
-        rows = queries.where(F.col("query_id").between(ids[at], ids[min(at + block, len(ids)) - 1]) & F.col("v").isNotNull()).collect()
-        q = np.array([r["v"] for r in rows], float)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        own = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), q))  # at most block rows
-
-        def run(batches, own=own):
-            qi, qv = own.value
-            best: list[tuple] = []
-            held = 0
-            for batch in batches:
-                if not batch.num_rows:
+
+    def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
+        """A row for each block: ids and vectors as arrays."""
+        held = written(spark, df.where(F.col("v").isNotNull() & (F.size("v") > 0)).select(F.col(key).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), f"{name}-rows")
+        n = max(1, -(-held.count() // block))
+        dealt = held.withColumn(f"{name}_block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+        return dealt.groupBy(f"{name}_block").agg(F.collect_list(F.struct("id", "v")).alias(name)).withColumn(f"n_{name}", F.lit(n))
+
+    rows, asked = written(spark, blocks(vectors, "doc_id", "p"), "row-blocks"), blocks(queries, "query_id", "q")
+    n_rows = rows.select("n_p").limit(1)  # one row
+    pairs = asked.crossJoin(F.broadcast(n_rows)).select("q", F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("p_block")).join(rows, "p_block").select("q", "p")
+
+    def run(batches):
+        best, held = [], 0
+        for batch in batches:
+            for q, p in zip(batch.column(0), batch.column(1)):
+                qi, di = (x.values.field("id").to_numpy() for x in (q, p))
+                qv, v = (x.values.field("v").flatten().to_numpy().reshape(len(i), -1) for x, i in ((q, qi), (p, di)))
+                norm, qn = np.linalg.norm(v, axis=1), np.linalg.norm(qv, axis=1)
+                di, v, qi, qv = di[norm > 0], v[norm > 0] / norm[norm > 0, None], qi[qn > 0], qv[qn > 0] / qn[qn > 0, None]
+                if not len(di) or not len(qi):
                     continue
-                v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-                norm = np.linalg.norm(v, axis=1)
-                ok = norm > 0
-                di, v = batch.column(0).to_numpy()[ok], v[ok] / norm[ok, None]
                 s = np.round(qv @ v.T, digits) + 0.0
                 s[qi[:, None] == di[None, :]] = -np.inf
-                row, col = np.nonzero(s >= np.sort(s, axis=1)[:, [max(-k, -s.shape[1])]]) if s.shape[1] else ([], [])
+                row, col = np.nonzero(s >= np.sort(s, axis=1)[:, [max(-k, -s.shape[1])]])
                 keep = np.isfinite(s[row, col])
-                best.append((qi[row][keep], di[col][keep], s[row, col][keep]))
+                best.append(_best([(qi[row][keep], di[col][keep], s[row, col][keep])], k))
                 held += len(best[-1][0])
-                if held > 4 * k * len(qi) + 4096:
-                    best = [_best(best, k)]
-                    held = len(best[0][0])
-            if best:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(best, k)], names=["query_id", "doc_id", "score"])
-
-        part = vectors.where(F.col("v").isNotNull()).select("doc_id", "v").mapInArrow(run, "query_id long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+                if held > 1 << 20:  # what stands so far goes on to the ranking
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(best, k)], names=["query_id", "doc_id", "score"])
+                    best, held = [], 0
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(best, k)], names=["query_id", "doc_id", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, doc_id long, score double")
     return top(found, "query_id", [F.desc("score"), F.asc("doc_id")], k)
 
 
