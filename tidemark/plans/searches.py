@@ -7,9 +7,9 @@ from pyspark.sql import Window, functions as F
 from tidemark.functions import questions as Q, text as T
 from tidemark.operators import evaluation as E, evidence, retrieval, search as S
 from tidemark.plans import equivalence
-from tidemark.plans.catalog import NAMES, _vectors, query
+from tidemark.plans.catalog import _DENSE, _INDEX, NAMES, _vectors, query
 from tidemark.plans.store import _BLOCKS, _blocks
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, written
 
 _TERMS = r"regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+(?:[._-][\p{{L}}\p{{N}}]+)*')"
 
@@ -213,3 +213,34 @@ def group_split(spark, sf_dir):
     nth = F.row_number().over(Window.partitionBy("n").orderBy("group"))
     marked = sizes.withColumn("nth", nth).join(take, "n").withColumn("split", F.when(F.col("nth") <= F.col("take"), "test").otherwise("dev"))
     return marked.groupBy("split").agg(F.sum("n").alias("n"))
+
+
+# Five branches over documents: vectors, words, documents of the best one's source and language, pairs of documents by their better vector, and vectors of every seventh document as pictures.
+@query(f"""WITH {_INDEX}, {_DENSE.format('q.doc_id IN (SELECT item_id FROM benchmark)')},
+gr AS (SELECT b.query_id, d.doc_id, row_number() OVER (PARTITION BY b.query_id ORDER BY d.doc_id) AS rank FROM bm b JOIN documents o ON o.doc_id = b.doc_id AND b.rank = 1 JOIN documents d ON d.source = o.source AND d.lang = o.lang),
+mm AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM (SELECT query_id, doc_id // 2 * 2 AS doc_id, max(score) AS s FROM dn WHERE rank <= 40 GROUP BY 1, 2)),
+vi AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds WHERE doc_id % 7 = 0),
+u AS (SELECT query_id, doc_id, rank AS r, 0 AS b, 'dense' AS n FROM dn WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank, 1, 'sparse' FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank, 2, 'graph' FROM gr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank, 3, 'multimodal' FROM mm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank, 4, 'visual' FROM vi WHERE rank <= 8),
+pl AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(r * 5 + b)) AS pos, list_sort(list_distinct(list(n))) AS branches FROM u GROUP BY 1, 2 QUALIFY pos <= 48),
+nt AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1), mt AS (SELECT p.query_id, p.doc_id, count(*) AS k FROM pl p JOIN qt USING (query_id) JOIN idx ON idx.doc_id = p.doc_id AND idx.term = qt.term GROUP BY 1, 2),
+sd AS (SELECT p.*, round(coalesce(k, 0) / n::DOUBLE, 6) AS score, p.doc_id % 7 = 0 AS special FROM pl p LEFT JOIN nt USING (query_id) LEFT JOIN mt USING (query_id, doc_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, pos) AS r FROM sd),
+hv AS (SELECT *, count(*) FILTER (WHERE special AND r <= 8) OVER (PARTITION BY query_id) AS have, row_number() OVER (PARTITION BY query_id, special ORDER BY r) AS nth FROM rk),
+sp AS (SELECT *, special AND nth > have AND nth <= have + greatest(2 - have, 0) AS spare FROM hv), ns AS (SELECT *, count(*) FILTER (WHERE spare) OVER (PARTITION BY query_id) AS spares FROM sp)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, doc_id, score, branches, special FROM ns WHERE spare OR r <= 8 - spares""")
+def unified_retrieval(spark, sf_dir):
+    from tidemark.operators import unified as U
+    from tidemark.plans.catalog import _bm25, _dense
+
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    sparse, dense = written(spark, _bm25(spark, sf_dir, 20), "sparse"), written(spark, _dense(spark, sf_dir, 40), "dense")
+    top = sparse.where("rank = 1").select("query_id", "doc_id").join(docs.select("doc_id", "source", "lang"), "doc_id").select("query_id", "source", "lang")
+    near = top.join(docs.select("doc_id", "source", "lang"), ["source", "lang"]).select("query_id", "doc_id")
+    graph = retrieval.top(near, "query_id", [F.asc("doc_id")], 20)
+    pairs = dense.groupBy("query_id", (F.floor(F.col("doc_id") / 2) * 2).alias("doc_id")).agg(F.max("score").alias("score"))
+    multimodal = retrieval.top(pairs, "query_id", [F.desc("score"), F.asc("doc_id")], 20)
+    v = _vectors(spark, sf_dir).withColumnRenamed("embedding", "v")
+    visual = retrieval.exact_knn(spark, v.where("doc_id % 7 = 0"), v.join(items.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id"), 8)
+    branches = {"dense": dense, "sparse": sparse, "graph": graph, "multimodal": multimodal, "visual": visual}
+    found = U.search(spark, items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), docs, branches, visual=F.col("doc_id") % 7 == 0)
+    return found.select("query_id", F.col("rank").cast("long"), "doc_id", "score", "branches", "special")
