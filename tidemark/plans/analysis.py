@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import questions as Q, text as T
-from tidemark.operators import evaluation as E, tables
+from tidemark.operators import evaluation as E, similarity, tables
 from tidemark.plans.catalog import query
 from tidemark.sources import html_tables
 from tidemark.sources.tables import table, written
@@ -276,12 +276,11 @@ def lineage_conflicts(spark, sf_dir):
     return E.lineage_problems(evidence, chunks)
 
 
-@query("""SELECT doc_id, len(list_distinct(list_concat(a, b))) AS all_grams, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3))) AS a, list_distinct(list_transform(range(1, greatest(length(u) - 1, 2)), lambda i: substr(u, i, 3))) AS b
-FROM (SELECT d.doc_id, lower(substr(d.text, 1, 200)) AS t, lower(substr(e.text, 1, 200)) AS u FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE d.text <> '' AND e.text <> ''))""")
+@query("""WITH c AS (SELECT min(doc_id) AS id, lower(text) AS t FROM documents WHERE text <> '' GROUP BY 2), g AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3))) AS g FROM c),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+SELECT a, b, round(k / (p.n + q.n - k)::DOUBLE, 6) AS similarity FROM (SELECT pr.*, n.n FROM p pr JOIN n ON n.id = a) p JOIN n q ON q.id = b WHERE k / (p.n + q.n - k)::DOUBLE >= 0.9""")
 def ngram_similarity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring("text", 1, 200)).alias("t")).where("t <> ''")
-    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u")), "doc_id")
-    a, b = T.char_ngrams(F.col("t")), T.char_ngrams(F.col("u"))
-    return both.select("doc_id", F.size(F.array_union(a, b)).cast("long").alias("all_grams"), F.round(T.jaccard(a, b), 6).alias("similarity"))
-
-
+    """Pairs of whole texts, cases aside, that share 0.9 of their character trigrams; equal ones under the smallest doc_id."""
+    held, _ = similarity.classes(table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.lower("text").alias("t")), "doc_id", "t")
+    pairs = similarity.jaccard_join(spark, similarity.char_gram_sets(held.withColumnRenamed("value", "text")), 0.9)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
