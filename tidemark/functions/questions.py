@@ -134,7 +134,7 @@ def numeric_claims(text: Column) -> Column:
 
 def without_claims(text: Column, mark: str = "[unverified]") -> Column:
     """The text with its numeric claims masked; years stay."""
-    not_year = r"(?!(?:19|20)\d{2}(?![\d.,%]))"
+    not_year = r"(?!(?:19|20)\d{2}(?!\d|%|[.,]\d))"  # a year may end a clause
     return F.regexp_replace(text, rf"(?<![0-9A-Za-z_.]){not_year}[-+]?(?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d+)?%?", mark)
 
 

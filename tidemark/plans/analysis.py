@@ -137,10 +137,12 @@ def visual_policy(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", told.alias("p")).select("event_id", "p.mode", "p.reason")
 
 
-@query(r"""SELECT o_orderkey, 3 AS n, 'In ' || year(o_orderdate) || ' sales of #, up #, by #.' AS masked FROM orders""")
+@query(r"""SELECT o_orderkey, 1 + CAST(o_orderkey % 3 > 0 AS INTEGER) + CAST(o_orderkey % 5 > 0 AS INTEGER) AS n, 'In ' || year(o_orderdate) || ' sales of #' || CASE WHEN o_orderkey % 3 > 0 THEN ', up #' ELSE ', up in ' || (1990 + o_orderkey % 30) END || CASE WHEN o_orderkey % 5 > 0 THEN ', by #.' ELSE '.' END AS masked FROM orders""")
 def numeric_claims(spark, sf_dir):
-    text = F.concat(F.lit("In "), F.year("o_orderdate"), F.lit(" sales of "), F.format_number("o_totalprice", 2), F.lit(", up "), (F.col("o_orderkey") % 90).cast("string"), F.lit("%, by +"), (F.col("o_custkey") % 7).cast("string"), F.lit(".5."))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    key = F.col("o_orderkey")
+    up = F.when(key % 3 > 0, F.concat(F.lit(", up "), (key % 90).cast("string"), F.lit("%"))).otherwise(F.concat(F.lit(", up in "), (1990 + key % 30).cast("string")))
+    by = F.when(key % 5 > 0, F.concat(F.lit(", by +"), (F.col("o_custkey") % 7).cast("string"), F.lit(".5."))).otherwise(F.lit("."))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("In "), F.year("o_orderdate"), F.lit(" sales of "), F.format_number("o_totalprice", 2), up, by).alias("t"))
     return o.select("o_orderkey", F.size(Q.numeric_claims(F.col("t"))).alias("n"), Q.without_claims(F.col("t"), "#").alias("masked"))
 
 

@@ -372,5 +372,5 @@ def route_queries(spark, sf_dir):
 
 
 # Each of these registers its queries here.
-from tidemark.plans import analysis as _analysis, chunks as _chunks, evidence as _evidence, files as _files, graphs as _graphs, links as _links, needs as _needs  # noqa: E402, F401
+from tidemark.plans import analysis as _analysis, chunks as _chunks, evidence as _evidence, files as _files, graphs as _graphs, grounding as _grounding, links as _links, needs as _needs  # noqa: E402, F401
 from tidemark.plans import outputs as _outputs, searches as _searches, similar as _similar, splits as _splits, store as _store, streams as _streams, versions as _versions  # noqa: E402, F401
