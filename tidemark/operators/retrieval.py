@@ -136,6 +136,18 @@ def first_seen(df: DataFrame, by: list[str], key: str, position: str) -> DataFra
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def distinct_context(hits: DataFrame) -> DataFrame:
+    """Of hits (query_id, rank, doc_id, blocks, text) those that say something new: a document once, and none whose text is that of an earlier kept one with a block in common.
+
+    Without blocks two hits have none in common; null texts are equal. A query's hits are few: they are a top-k.
+    """
+    once = first_seen(hits, ["query_id"], "doc_id", "rank")
+    same = once.groupBy("query_id", "text").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "blocks"))).alias("xs"))
+    none = F.slice("xs", 1, 0)
+    kept = F.aggregate("xs", none, lambda took, x: F.when(F.exists(took, lambda k: F.coalesce(F.arrays_overlap(k["blocks"], x["blocks"]), F.lit(False))), took).otherwise(F.concat(took, F.array(x))))
+    return same.select("query_id", "text", F.explode(kept).alias("x")).select("query_id", "x.rank", "x.doc_id", "x.blocks", "text")
+
+
 def pack_context(hits: DataFrame, budget: int) -> DataFrame:
     """In order of rank, takes what still fits into ``budget`` characters; what does not fit is skipped. Adds marker C1, C2, ...
 

@@ -244,3 +244,15 @@ def unified_retrieval(spark, sf_dir):
     branches = {"dense": dense, "sparse": sparse, "graph": graph, "multimodal": multimodal, "visual": visual}
     found = U.search(spark, items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), docs, branches, visual=F.col("doc_id") % 7 == 0)
     return found.select("query_id", F.col("rank").cast("long"), "doc_id", "score", "branches", "special")
+
+
+@query("""WITH RECURSIVE h AS (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderkey % 50 AS doc_id, [month(o_orderdate) % 6, month(o_orderdate) % 6 + 1] AS blocks, o_orderstatus AS text FROM orders),
+o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) = 1), j AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) AS j FROM o),
+f AS (SELECT query_id, text, rank, doc_id, blocks, j, blocks AS seen, true AS kept FROM j WHERE j = 1
+  UNION ALL SELECT j.query_id, j.text, j.rank, j.doc_id, j.blocks, j.j, CASE WHEN list_has_any(f.seen, j.blocks) THEN f.seen ELSE list_concat(f.seen, j.blocks) END, NOT list_has_any(f.seen, j.blocks) FROM f JOIN j ON j.query_id = f.query_id AND j.text = f.text AND j.j = f.j + 1)
+SELECT query_id, rank, doc_id, text FROM f WHERE kept""")
+def distinct_context(spark, sf_dir):
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    block = F.month("o_orderdate") % 6
+    hits = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.row_number().over(order).alias("rank"), (F.col("o_orderkey") % 50).alias("doc_id"), F.array(block, block + 1).alias("blocks"), F.col("o_orderstatus").alias("text"))
+    return retrieval.distinct_context(hits).select("query_id", F.col("rank").cast("long"), "doc_id", "text")
