@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm.common import open_fs, shared_dir, small_batches
 
 # Fixed values of the format.
-SKIPPABLE = 0x184D2A5D
+SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
+VERSIONS = (b"WARC/0.17", b"WARC/0.18", b"WARC/1.0", b"WARC/1.1")
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "urn:tidemark:page:"
@@ -148,17 +150,26 @@ class ArchiveWriter:
         self._put(self.zip.compress(record_bytes(record, self.date)))
 
 
-def read_archive(source, step: int = 1 << 16) -> Iterator[Record]:
-    """Records of an archive in order; one frame at a time is in memory."""
+def _opened(source) -> tuple[zstandard.ZstdCompressionDict | None, bytes]:
+    """(dictionary, bytes read beyond it). The leading skippable frame may hold the dictionary as it is or as a zstandard frame."""
     head = source.read(8)
-    dictionary, held = None, head
-    if len(head) == 8 and struct.unpack("<I", head[:4])[0] == SKIPPABLE:
-        n = struct.unpack("<I", head[4:])[0]
-        raw = source.read(n)
-        if len(raw) != n:
-            raise DamagedArchive("the dictionary is cut off")
-        dictionary = zstandard.ZstdCompressionDict(raw)
-        held = b""
+    if len(head) < 8 or struct.unpack("<I", head[:4])[0] != SKIPPABLE:
+        return None, head
+    n = struct.unpack("<I", head[4:])[0]
+    raw = source.read(n)
+    if len(raw) != n:
+        raise DamagedArchive("the dictionary is cut off")
+    if raw.startswith(FRAME):
+        try:
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        except zstandard.ZstdError as e:
+            raise DamagedArchive(f"the dictionary's frame is damaged: {e}") from e
+    return zstandard.ZstdCompressionDict(raw), b""
+
+
+def read_archive(source, step: int = 1 << 16) -> Iterator[Record]:
+    """Records of an archive of ours in order, checked against all that we write; one frame at a time is in memory."""
+    dictionary, held = _opened(source)
     unzip = zstandard.ZstdDecompressor(dict_data=dictionary)
     while True:
         held = held or source.read(step)
@@ -181,6 +192,111 @@ def read_archive(source, step: int = 1 << 16) -> Iterator[Record]:
             yield record
 
 
+@dataclass(frozen=True)
+class AnyRecord:
+    """A record of any archive. ``payload`` is the body of an HTTP block, else the block; ``digest_ok`` is null where there is no digest that can be checked."""
+
+    kind: str
+    record_id: str | None
+    date: str | None
+    url: str | None
+    content_type: str | None
+    payload: bytes
+    digest: str | None
+    digest_ok: bool | None
+    refers_to: str | None
+
+
+def _digest_ok(told: str | None, payload: bytes) -> bool | None:
+    """Whether a digest, in hexadecimal or base 32, is the payload's; null without one or of an unknown kind."""
+    algorithm, _, text = (told or "").partition(":")
+    name = algorithm.lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5") or not text:
+        return None
+    own = hashlib.new(name, payload)
+    return text.lower() == own.hexdigest() or text.rstrip("=").upper() == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
+def parse_any(raw: bytes) -> AnyRecord:
+    """A record of one decoded frame: any version and type, with what headers it has; DamagedArchive if it is none."""
+    line, _, rest = raw.partition(b"\r\n")
+    if line.strip() not in VERSIONS:
+        raise DamagedArchive(f"wrong version line: {line[:20]!r}")
+    end = rest.find(b"\r\n\r\n")
+    if end < 0:
+        raise DamagedArchive("no end of headers")
+    unfolded = re.sub(rb"\r\n[ \t]+", b" ", rest[:end])
+    head = _headers(unfolded.split(b"\r\n") if unfolded else [])
+    try:
+        length, kind = int(head["content-length"]), head["warc-type"].lower()
+    except (KeyError, ValueError) as e:
+        raise DamagedArchive(f"missing or bad header: {e}") from e
+    block = rest[end + 4 : end + 4 + length]
+    if len(block) != length or rest[end + 4 + length :].strip(b"\r\n"):
+        raise DamagedArchive("Content-Length and record length differ")
+    if kind not in TYPES:
+        raise DamagedArchive(f"unexpected record type {kind}")
+    payload = block
+    if head.get("content-type", "").startswith("application/http") or (kind in ("response", "revisit") and block.startswith(b"HTTP/")):
+        cut = block.find(b"\r\n\r\n")
+        payload = block[cut + 4 :] if cut >= 0 else b""
+    told = head.get("warc-payload-digest")
+    ok = None if kind == "revisit" else _digest_ok(told, payload)
+    if _digest_ok(head.get("warc-block-digest"), block) is False:
+        ok = False
+    return AnyRecord(kind, head.get("warc-record-id"), head.get("warc-date"), head.get("warc-target-uri"), head.get("content-type"), payload, told, ok, head.get("warc-refers-to"))
+
+
+def read_any(source, step: int = 1 << 16, most_bytes: int = 1 << 30) -> Iterator[AnyRecord | DamagedArchive]:
+    """Records of any zstandard archive in order; what can't be read is an error in its place, and the next frame is looked for.
+
+    One frame is in memory, ``most_bytes`` of it at most: a larger one is an error in its place too.
+    """
+    try:
+        dictionary, held = _opened(source)
+    except DamagedArchive as e:
+        yield e
+        return
+    unzip = zstandard.ZstdDecompressor(dict_data=dictionary)
+    while True:
+        held = held or source.read(step)
+        if not held:
+            return
+        frame, parts, size, problem, start = unzip.decompressobj(), [], 0, None, True
+        try:
+            while not frame.eof:
+                piece = frame.decompress(held)
+                size += len(piece)
+                if size <= most_bytes:
+                    parts.append(piece)
+                start = False
+                if frame.eof:
+                    held = frame.unused_data
+                elif not (held := source.read(step)):
+                    problem = DamagedArchive("the last frame is cut off")
+                    break
+        except zstandard.ZstdError as e:
+            problem = DamagedArchive(f"not a zstandard frame: {e}")
+            held = held[1:] if start else held
+            while (at := held.find(FRAME)) < 0:  # on to what may be the next frame
+                more = source.read(step)
+                if not more:
+                    held = b""
+                    break
+                held = held[-3:] + more
+            else:
+                held = held[at:]
+        if problem is None and size > most_bytes:
+            problem = DamagedArchive(f"a record of {size} bytes")
+        if problem is None:
+            try:
+                yield parse_any(b"".join(parts))
+                continue
+            except DamagedArchive as e:
+                problem = e
+        yield problem
+
+
 def learn_dictionary(pages: DataFrame, sample: int = 200, most_chars: int = 20_000, size: int = 32 << 10) -> bytes:
     """A dictionary from a bounded sample: the starts (``most_chars``) of the ``sample`` rows of smallest hash of page_id. Empty if there is too little to learn from.
 
@@ -275,6 +391,38 @@ def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool =
     return archives.repartitionByRange(n, "nth").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload)
 
 
+def read_any_archives(spark: SparkSession, archives: DataFrame, strict: bool = False) -> DataFrame:
+    """path, nth, record_type, record_id, date, url, content_type, payload, payload_digest, digest_ok, refers_to, problem of every record of any archives (path).
+
+    A record that can't be read is a row with its ``problem`` and nothing else, ``strict`` makes it an error. An empty archive or table has no rows; other columns of ``archives`` are not looked at.
+    """
+    names = ["path", "nth", "record_type", "record_id", "date", "url", "content_type", "payload", "payload_digest", "digest_ok", "refers_to", "problem"]
+    schema = pa.schema([(n, {"nth": pa.int64(), "payload": pa.binary(), "digest_ok": pa.bool_()}.get(n, pa.string())) for n in names])
+
+    def read(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, p = open_fs(path)
+                rows, size = [], 0
+                with fs.open_input_stream(p, compression=None) as source:
+                    for nth, r in enumerate(read_any(source)):
+                        if isinstance(r, DamagedArchive):
+                            if strict:
+                                raise r
+                            rows.append((path, nth, *[None] * 9, str(r)))
+                        else:
+                            rows.append((path, nth, r.kind, r.record_id, r.date, r.url, r.content_type, r.payload, r.digest, r.digest_ok, r.refers_to, None))
+                            size += len(r.payload)
+                        if len(rows) == 1024 or size > 1 << 24:
+                            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                            rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    kinds = {"nth": "long", "payload": "binary", "digest_ok": "boolean"}
+    return archives.select("path").repartition(max(archives.count(), 1), "path").mapInArrow(read, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+
+
 ORACLE = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 k AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d)
