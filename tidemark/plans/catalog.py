@@ -134,6 +134,13 @@ def table_aggregate(spark, sf_dir):
     return tables.aggregate(df, "v", ["sum", "min", "max"], "segment").select("segment", F.col("sum").cast("double").alias("total"), F.col("min").cast("double").alias("least"), F.col("max").cast("double").alias("most"))
 
 
+@query("SELECT round(avg(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE, 4) AS mean, CAST(max(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS most FROM orders")
+def table_aggregate_all(spark, sf_dir):
+    """All rows as one group."""
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    return tables.aggregate(df, "v", ["avg", "max"]).select(F.round(F.col("avg").cast("double"), 4).alias("mean"), F.col("max").cast("double").alias("most"))
+
+
 @query("""WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderstatus, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total FROM orders GROUP BY 1, 2)
 SELECT yr, o_orderstatus, CAST(total AS DOUBLE) AS total, CAST(total - lag(total) OVER (PARTITION BY o_orderstatus ORDER BY yr) AS DOUBLE) AS delta FROM y""")
 def table_growth(spark, sf_dir):
@@ -181,6 +188,8 @@ SHAPES = {
     "sql_text": "SELECT c_custkey, upper(trim(c_mktsegment)) AS segment, cast(length(c_name) AS bigint) AS n, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS other FROM customer WHERE c_name LIKE '%7' AND c_acctbal BETWEEN 0 AND 5000",
     "sql_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "sql_scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT max(p_retailprice) - 20 FROM part)",
+    "sql_arrays": "SELECT o_orderstatus, array_agg(DISTINCT o_orderstatus) AS states, every(o_totalprice > 1500) AS all_large, every(o_totalprice > 0) AS all_paid FROM orders GROUP BY o_orderstatus",
+    "sql_casts": "SELECT c_custkey, cast(c_custkey AS string) || ':' || cast(c_nationkey AS string) AS t, cast(c_nationkey AS double) AS d, cast(concat('0', cast(c_nationkey AS string)) AS int) AS i, cast('1995-03-04' AS date) AS day, regexp_replace(c_name, '^[A-Z]+', '') AS rest, rtrim(concat(c_mktsegment, '  ')) AS r, ltrim(concat('  ', c_mktsegment)) AS l FROM customer",
     "sql_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey = n_regionkey",
 }
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -196,8 +205,8 @@ def _shape(sql):
     return run
 
 
-for _name, _sql in SHAPES.items():  # two functions go by other names there
-    QUERIES[_name], ORACLE_SQL[_name] = _shape(_sql), _sql.replace("btrim(", "trim(").replace("string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name)", "string_agg(n_name, ',' ORDER BY n_name)")
+for _name, _sql in SHAPES.items():  # three functions go by other names there
+    QUERIES[_name], ORACLE_SQL[_name] = _shape(_sql), _sql.replace("btrim(", "trim(").replace("every(", "bool_and(").replace("string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name)", "string_agg(n_name, ',' ORDER BY n_name)")
 
 
 # Statements and whether the guard lets them through.
