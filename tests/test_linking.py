@@ -56,7 +56,7 @@ def test_candidates_of_all_blocks(spark, max_block, max_pairs, window, prefix):
 def test_pairs_of_common_labels_stay_few(spark):
     rows = [(i, "same") for i in range(70)] + [(100 + i, "few") for i in range(4)] + [(200, None), (201, "sand")]
     df = spark.createDataFrame(rows, "id long, label string").repartition(4)
-    got = {tuple(r) for r in graph.blocking_pairs(spark, df, window=1).collect()}
+    got = {tuple(r) for r in graph.blocking_pairs(df, window=1).collect()}
     ordered = [i for i, t in sorted(((i, t) for i, t in rows if t and t.startswith("sa")), key=lambda r: (r[1], r[0]))]
     chain = {tuple(sorted(p)) for p in zip(ordered, ordered[1:])} | {(100, 101), (101, 102), (102, 103)}
     assert got == chain | {(0, i) for i in range(1, 70)} | set(combinations(range(100, 104), 2))

@@ -49,13 +49,14 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int = 2, **caps) -> DataFrame
     return every
 
 
-def prefix_pairs(spark: SparkSession, entities: DataFrame, window: int = 16, prefix: int = 2) -> DataFrame:
+def prefix_pairs(entities: DataFrame, window: int = 16, prefix: int = 2) -> DataFrame:
     """(a, b), a < b: entities within ``window`` places in their prefix's order of labels.
 
     Places are numbered over ranges of labels, so no prefix is sorted in one
     task; a pair meets where one place is at most ``window`` after the other, by an
     equi-join on shifted places. Null labels are of no prefix.
     """
+    spark = entities.sparkSession
     known = entities.where("label IS NOT NULL").select("id", "label", F.substring("label", 1, prefix).alias("p"))
     placed = written(spark, numbered(spark, known, "p", "label", "id").select("p", "id", "place"), "places")
     left = placed.select("p", F.col("id").alias("x"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + window)).alias("place"))
@@ -68,7 +69,7 @@ def label_classes(entities: DataFrame) -> DataFrame:
     return entities.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("least"))
 
 
-def blocking_pairs(spark: SparkSession, entities: DataFrame, window: int = 16, prefix: int = 2, most: int = 64) -> DataFrame:
+def blocking_pairs(entities: DataFrame, window: int = 16, prefix: int = 2, most: int = 64) -> DataFrame:
     """(a, b), a < b: entities of equal label, and those of ``prefix_pairs``.
 
     Up to ``most`` entities of a label meet all with all. More of them are each
@@ -79,7 +80,7 @@ def blocking_pairs(spark: SparkSession, entities: DataFrame, window: int = 16, p
     few = sized.where(F.col("n") <= most)
     same = few.select(F.col("id").alias("a"), "label").join(few.select(F.col("id").alias("b"), "label"), "label").where("a < b").select("a", "b")
     many = sized.where((F.col("n") > most) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    return same.union(many).union(prefix_pairs(spark, entities, window, prefix)).distinct()
+    return same.union(many).union(prefix_pairs(entities, window, prefix)).distinct()
 
 
 def decide(pairs: DataFrame, entities: DataFrame, least: float = 0.72) -> DataFrame:
