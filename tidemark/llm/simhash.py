@@ -387,10 +387,14 @@ def left_out(spark: SparkSession, docs: DataFrame, roots: DataFrame, shingle: in
     rows = docs.select("text").mapInArrow(_prefix_rows(least, shingle, common), "token long, node long")
     shared = rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long")
     told = written(spark, shared.join(roots, "node"), "prefixes")
-    several = told.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    apart = told.join(several, "token", "left_semi")
-    a, b = (apart.select("token", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("size").alias(f"n{k}")) for k in "ab")
-    pairs = a.join(b, "token").where("a < b AND ra <> rb").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    # Of a token most rows are often of one group: its rows are not tried against each other, only the others against all.
+    by_root = told.groupBy("token", "root").agg(F.count("*").alias("n"))
+    most = by_root.groupBy("token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
+    apart = written(spark, told.join(most, "token"), "prefixes-apart")
+    a = apart.where("root <> main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("na"))
+    b = apart.select("token", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("nb"), (F.col("root") == F.col("main")).alias("main"))
+    pairs = a.join(b, "token").where("rx <> ry AND (main OR x < y)").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))
     depth = F.floor(F.least("na", "nb") / 25) + 1
     return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") >= depth).select("a", "b")
 
