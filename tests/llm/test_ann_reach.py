@@ -49,3 +49,27 @@ def test_like_dimensions_are_the_hard_case():
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     share, replication, found = measured(v, REPLICAS)
     assert share <= 0.75 and replication > 1.2 and found.mean() >= 0.9
+
+
+def test_a_query_that_probes_most_lists_opens_no_wide_beam(monkeypatch):
+    rng = np.random.default_rng(3)
+    c, q = (rng.normal(size=(n, 64)).astype(np.float32) for n in (1500, 300))
+    edges, beams, search = ann.centroid_graph(c), [], ann.graph_search
+    monkeypatch.setattr(ann, "graph_search", lambda x, c, edges, beam: beams.append(beam) or search(x, c, edges, beam))
+    row, own = ann.probes(q, c, edges, 1.2, 0.0)
+    d = np.sqrt(((q[:, None] - c) ** 2).sum(2))
+    within = d <= 1.2 * d.min(1, keepdims=True)
+    assert max(beams) <= 64
+    assert len(row) >= 0.99 * within.sum() and (d[row, own] <= 1.21 * d.min(1)[row]).all()
+
+
+def test_cells_hold_neighbouring_lists_and_a_long_list_has_several():
+    rng = np.random.default_rng(4)
+    c = (10 * rng.normal(size=(8, 16))[np.arange(400) % 8] + 0.1 * rng.normal(size=(400, 16))).astype(np.float32)
+    sizes = np.full(400, 50)
+    sizes[7] = 5000
+    first, parts, cells = ann.packed(c, sizes, 1000)
+    assert parts[7] == 5 and parts.sum() == 404
+    held = np.bincount(first, sizes / parts, cells)
+    assert held.max() <= 1000 and cells <= 40
+    assert not (set(range(first[7], first[7] + 5)) & set(np.delete(first, 7)))

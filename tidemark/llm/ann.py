@@ -4,13 +4,17 @@ Inner products become distances: every vector gets one more coordinate, which
 brings all candidates to the largest norm. Centroids come from balanced
 k-means on a bounded sample; vectors near a boundary stand in several lists;
 an in-memory graph over the centroids is searched to find the lists of a
-vector, and the ratio of distances decides how many of them are used. Lists
-are stored in blocks of bounded size, so no list is ever in one task, and
-equal vectors are indexed once.
+vector, and the ratio of distances decides how many of them are used. Neighbouring
+lists are packed into cells of bounded size, a long list into several, so no
+list is ever in one task; a query goes once to a cell, with the lists it probes
+there and the score that k others there reach in a sample. Equal vectors are
+indexed once.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -21,34 +25,34 @@ from tidemark.llm.common import small_batches, written
 def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """k centroids by splitting in two, halves equal in size, then Lloyd rounds with a penalty on full lists."""
     rng = np.random.default_rng(seed)
-    parts = [np.arange(len(x))]
-    while len(parts) < k:
-        parts.sort(key=len)
-        own = parts.pop()
-        if len(own) < 2:
-            parts.append(own)
-            break
+    parts = [(-len(x), 0, np.arange(len(x)))]
+    made = 1
+    while len(parts) < k and -parts[0][0] >= 2:
+        own = heapq.heappop(parts)[2]
         sub = x[own]
         way = sub[rng.integers(len(sub))] - sub.mean(0)
         for _ in range(4):  # towards the main direction
             way = (sub - sub.mean(0)).T @ ((sub - sub.mean(0)) @ way)
             way /= np.linalg.norm(way) + 1e-12
         order = np.argsort(sub @ way, kind="stable")
-        parts += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
-    c = np.stack([x[p].mean(0) for p in parts])
-    penalty = np.zeros(len(c))
+        for half in (own[order[: len(own) // 2]], own[order[len(own) // 2 :]]):
+            heapq.heappush(parts, (-len(half), made, half))
+            made += 1
+    c = np.stack([x[p].mean(0) for _, _, p in parts])
+    penalty = np.zeros(len(c), c.dtype)
     for _ in range(rounds):
         nearest = np.empty(len(x), int)
         scale = 0.0
-        for at in range(0, len(x), 2048):
-            d = ((c**2).sum(1) - 2 * x[at : at + 2048] @ c.T) + penalty
-            nearest[at : at + 2048] = d.argmin(1)
-            scale += d.std()
+        for at in range(0, len(x), 512):
+            d = x[at : at + 512] @ (-2 * c.T)
+            d += (c**2).sum(1) + penalty
+            nearest[at : at + 512] = d.argmin(1)
+            scale += float(d[:, :: max(1, len(c) // 512)].std())
         n = np.bincount(nearest, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, nearest, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-        penalty += 0.02 * scale / max(-(-len(x) // 2048), 1) * (n / max(n.mean(), 1e-9) - 1)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c).astype(x.dtype)
+        penalty += (0.02 * scale / max(-(-len(x) // 512), 1) * (n / max(n.mean(), 1e-9) - 1)).astype(c.dtype)
     return c.astype(np.float32)
 
 
@@ -60,17 +64,22 @@ def centroid_graph(c: np.ndarray, degree: int = 16) -> np.ndarray:
     norms = (c**2).sum(1)
     for at in range(0, n, 512):
         d = norms - 2 * c[at : at + 512] @ c.T + norms[at : at + 512, None]
-        wide = np.argsort(d, axis=1, kind="stable")[:, 1 : 4 * degree + 1]
+        most = min(4 * degree + 1, n)
+        wide = np.argpartition(d, most - 1, axis=1)[:, :most]
+        wide = np.take_along_axis(wide, np.lexsort((wide, np.take_along_axis(d, wide, 1))), 1)[:, 1:]
         for i, near in enumerate(wide):
             own, kept = at + i, []
-            for j in near:
+            between = norms[near][:, None] + norms[near] - 2 * c[near] @ c[near].T
+            nearer = between <= d[i, near][:, None]  # row j, column m: m is as near j as the node itself is
+            for j in range(len(near)):
                 if len(kept) == degree:
                     break
-                if all(((c[j] - c[m]) ** 2).sum() > d[i, j] for m in kept):
+                if not nearer[j, kept].any():
                     kept.append(j)
-            kept += [j for j in near if j not in kept][: degree - len(kept)]
+            taken = set(kept)
+            kept += [j for j in range(len(near)) if j not in taken][: degree - len(kept)]
             if kept:
-                edges[own] = (kept * degree)[:degree]
+                edges[own] = near[(kept * degree)[:degree]]
     return edges
 
 
@@ -130,20 +139,43 @@ def lists_of(x: np.ndarray, c: np.ndarray, edges: np.ndarray, beam: int, ratio:
 def probes(q: np.ndarray, c: np.ndarray, edges: np.ndarray, ratio: float, least: float, beam: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) pairs: all lists whose distance is at most ``ratio`` times the nearest one's, or ``least`` where a query all but stands on a centroid.
 
-    The graph is searched with a beam that widens for the rows whose farthest
-    centroid found is still within the bound, up to all centroids.
+    The graph is searched once. Rows whose farthest centroid found is still
+    within the bound are measured against all centroids, 256 at a time: a wider
+    beam takes a step for each centroid it opens, which costs the square of their number.
     """
-    rows, lists, todo = [], [], np.arange(len(q))
-    while len(todo):
-        ids, d = graph_search(q[todo], c, edges, beam)
-        d = np.sqrt(d)
-        within = np.isfinite(d) & (d <= ratio * np.maximum(d[:, :1], least) + 1e-6)
-        wide = within[:, -1] & (ids.shape[1] < len(c)) & (beam < len(c))
-        at, j = np.nonzero(within & ~wide[:, None])
-        rows.append(todo[at])
-        lists.append(ids[at, j])
-        todo, beam = todo[wide], 4 * beam
-    return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(lists or [np.zeros(0, int)])
+    if not len(q):
+        return np.zeros(0, int), np.zeros(0, int)
+    ids, d = graph_search(q, c, edges, beam)
+    d = np.sqrt(d)
+    within = np.isfinite(d) & (d <= ratio * np.maximum(d[:, :1], least) + 1e-6)
+    wide = within[:, -1] & (ids.shape[1] < len(c))
+    at, j = np.nonzero(within & ~wide[:, None])
+    rows, lists, norms = [at], [ids[at, j]], (c**2).sum(1)
+    todo = np.flatnonzero(wide)
+    for low in range(0, len(todo), 256):
+        own = todo[low : low + 256]
+        d = np.sqrt(np.maximum((q[own] ** 2).sum(1)[:, None] + norms - 2 * q[own] @ c.T, 0))
+        at, j = np.nonzero(d <= ratio * np.maximum(d.min(1, keepdims=True), least) + 1e-6)
+        rows.append(own[at])
+        lists.append(j)
+    return np.concatenate(rows), np.concatenate(lists)
+
+
+def packed(c: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first cell of each list, cells of each list, number of cells): neighbouring lists share cells of about ``most`` rows, a list over that has several of its own."""
+    coarse = balanced_kmeans(c, max(1, min(len(c) // 4, int(sizes.sum()) // most)))
+    near = np.concatenate([((coarse**2).sum(1) - 2 * c[at : at + 512] @ coarse.T).argmin(1) for at in range(0, len(c), 512)])
+    first, parts, cell, held = np.zeros(len(c), np.int64), np.ones(len(c), np.int64), 0, 0
+    for own in np.argsort(near, kind="stable"):
+        n = int(sizes[own])
+        if held and held + n > most:
+            cell, held = cell + 1, 0
+        first[own], parts[own] = cell, max(1, -(-n // most))
+        if parts[own] > 1:
+            cell, held = cell + int(parts[own]), 0
+        else:
+            held += n
+    return first, parts, cell + 1
 
 
 def calibrate(v: np.ndarray, norm: float, c: np.ndarray, edges: np.ndarray, k: int, recall: float, worst: float, replicas: int, replica_ratio: float, apart: float, queries: int = 512) -> tuple[float, float]:
@@ -188,7 +220,64 @@ def share_scored(v: np.ndarray, q: np.ndarray, norm: float, c: np.ndarray, edges
     return float(np.mean([member[lists[at == i]].any(0).mean() for i in range(len(q))])), len(row) / len(v)
 
 
-def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: int = 20, sample_rows: int = 65_536, list_rows: int = 48, most_lists: int = 16_384, replicas: int = 3, replica_ratio: float = 1.2, apart: float = 0.3, recall: float = 0.94, worst: float = 0.75, block: int = 512) -> DataFrame:
+def _rows_of_cells(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, lists: np.ndarray) -> pa.RecordBatch:
+    """A row for each (row, cell) that occurs: the cell, the batch's columns, and its lists in that cell."""
+    order = np.lexsort((lists, cell, row))
+    row, cell, lists = row[order], cell[order], lists[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
+    starts = np.append(np.flatnonzero(new), len(row)).astype(np.int32)
+    own = {name: batch.column(i).take(pa.array(row[new])) for i, name in enumerate(batch.schema.names) if name != "lists"}
+    return pa.RecordBatch.from_arrays([pa.array(cell[new].astype(np.int64)), own.pop("id"), own.pop("v"), pa.ListArray.from_arrays(starts, lists.astype(np.int32)), *own.values()], names=["cell", "id", "v", "lists", *own])
+
+
+def _best_of(query: np.ndarray, rep: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Each query's k + 1 best of the rows, repeats once."""
+    order = np.lexsort((rep, -score, query))
+    query, rep, score = query[order], rep[order], score[order]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (rep[1:] != rep[:-1]) | (score[1:] != score[:-1])
+    query, rep, score = query[new], rep[new], score[new]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) <= k
+    return query[keep], rep[keep], score[keep]
+
+
+def _scanned(q: pa.StructArray, p: pa.StructArray, dim: int, k: int, wide: int = 256, deep: int = 4096):
+    """Hits of a block of queries in a cell's rows: a query is scored against the rows that stand in a list it probes."""
+    names = np.unique(p.field("lists").flatten().to_numpy())
+    own = p.field("lists")
+    at = np.diff(own.offsets.to_numpy())
+    nth = np.concatenate([np.arange(n) for n in at]) if len(at) else at
+    table = np.full((len(p), int(at.max(initial=1))), len(names))  # the last place is a list that nobody probes
+    table[np.repeat(np.arange(len(p)), at), nth] = np.searchsorted(names, own.flatten().to_numpy())
+    pv, rep = p.field("v").flatten().to_numpy().reshape(-1, dim), p.field("id").to_numpy()
+    for low in range(0, len(q), wide):
+        part = q.slice(low, wide)
+        qv, query, floor = part.field("v").flatten().to_numpy().reshape(-1, dim), part.field("id").to_numpy(), part.field("floor").to_numpy()
+        asked = part.field("lists")
+        row, probed = np.repeat(np.arange(len(part)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
+        place = np.searchsorted(names, probed)
+        known = (place < len(names)) & (names[np.minimum(place, len(names) - 1)] == probed)
+        probe = np.zeros((len(names) + 1, len(part)), bool)
+        probe[place[known], row[known]] = True
+        for top in range(0, len(p), deep):
+            rough = qv @ pv[top : top + deep].T
+            lists = table[top : top + deep]
+            over = rough >= floor[:, None]
+            many = np.flatnonzero(over.sum(1) > 4 * (k + 9))
+            if len(many):  # no floor or a low one: the best of the rows asked for, with all that tie at the edge
+                asked_for = np.where(np.logical_or.reduce([probe[of][:, many].T for of in lists.T]), rough[many], -np.inf)
+                m = min(asked_for.shape[1], k + 9)
+                edge = np.partition(asked_for, asked_for.shape[1] - m, axis=1)[:, asked_for.shape[1] - m] - 1e-9
+                over[many] = (asked_for >= np.maximum(edge, floor[many])[:, None]) & (asked_for > -np.inf)
+            i, j = np.nonzero(over)
+            met = np.logical_or.reduce([probe[lists[j, t], i] for t in range(lists.shape[1])])
+            i, j = i[met], j[met]
+            if len(i):
+                yield _best_of(query[i], rep[top + j], (qv[i] * pv[top + j]).sum(1), k)
+
+
+def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: int = 20, sample_rows: int = 65_536, list_rows: int = 48, most_lists: int = 16_384, replicas: int = 3, replica_ratio: float = 1.2, apart: float = 0.3, recall: float = 0.94, worst: float = 0.75, block: int = 2048, cell_rows: int = 16_384, pilot_rows: int = 32_768) -> DataFrame:
     """The k nearest of every row whose vec_id ``query_every`` divides: query_id, rank, vec_id, score.
 
     Nearness is the largest inner product. Null vectors, zero ones, those with
@@ -227,47 +316,78 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
     edges = centroid_graph(c)
     probe_ratio, least = calibrate(v, norm, c, edges, k, recall, worst, replicas, replica_ratio, apart)
     model = spark.sparkContext.broadcast((c, edges))  # most_lists centroids at most
-
-    def assign(query: bool):
-        def run(batches):
-            c, edges = model.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column("v").flatten().to_numpy().reshape(-1, dim)
-                for at in range(0, len(flat), 256):
-                    part = _lifted(flat[at : at + 256], norm, query)
-                    row, own = probes(part, c, edges, probe_ratio, least) if query else lists_of(part, c, edges, 24, replica_ratio, replicas, apart)
-                    idx = pa.array(row + at)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(batch.column(i).take(idx) for i in range(batch.num_columns))], names=["list", *batch.schema.names])
-
-        return run
-
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = written(spark, reps.select("rep", "v").repartition(tasks).mapInArrow(assign(False), "list int, rep long, v array<double>"), "postings")
-    probing = queries.select("query_id", "v").repartition(tasks).mapInArrow(assign(True), "list int, query_id long, v array<double>")
-
-    def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
-        """Blocks of about ``block`` rows of a list, each an array: never a whole list at once."""
-        counts = df.groupBy("list").agg(F.ceil(F.count("*") / block).alias("n"))
-        dealt = df.join(counts, "list").withColumn("b", F.pmod(F.xxhash64(key, "v"), F.col("n")))
-        return dealt.groupBy("list", "b").agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias(name), F.first("n").alias("n"))
-
-    # every block of queries goes to every block of its list, each pair a key of its own
-    kept = blocks(postings, "rep", "p").withColumnRenamed("n", "n_p")
-    in_list = kept.groupBy("list").agg(F.max("n_p").alias("n_p"))
-    asking = blocks(written(spark, probing, "probes"), "query_id", "q").select("list", "q").join(in_list, "list")
-    pairs = asking.select("list", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_p") - 1)).alias("b")).join(kept.select("list", "b", "p"), ["list", "b"])
-
-    def best_of(query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Each query's k + 1 best of the rows, repeats once."""
-        order = np.lexsort((rep, -score, query))
-        query, rep, score = query[order], rep[order], score[order]
-        new = np.ones(len(query), bool)
-        new[1:] = (query[1:] != query[:-1]) | (rep[1:] != rep[:-1]) | (score[1:] != score[:-1])
-        query, rep, score = query[new], rep[new], score[new]
-        keep = np.arange(len(query)) - np.searchsorted(query, query) <= k
-        return query[keep], rep[keep], score[keep]
+
+    def assign(batches):
+        c, edges = model.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column("v").flatten().to_numpy().reshape(-1, dim)
+            for at in range(0, len(flat), 256):
+                row, own = lists_of(_lifted(flat[at : at + 256], norm, False), c, edges, 24, replica_ratio, replicas, apart)
+                order = np.lexsort((own, row))
+                starts = np.searchsorted(row[order], np.arange(min(256, len(flat) - at) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(starts, own[order].astype(np.int32)), *(batch.column(i).slice(at, 256) for i in range(batch.num_columns))], names=["lists", *batch.schema.names])
+
+    postings = written(spark, reps.select("rep", "v").repartition(tasks).mapInArrow(assign, "lists array<int>, rep long, v array<double>"), "postings")
+    sizes = np.zeros(len(c), np.int64)
+    for r in postings.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # a row for each list
+        sizes[r["list"]] = r["count"]
+    first, parts, cells = packed(c, sizes, max(1024, min(cell_rows, int(sizes.sum()) // 64)))
+    places = spark.sparkContext.broadcast((first, parts))
+    some = int(min(1 / 8, pilot_rows / n) * (1 << 20))
+    pilot = postings.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < some).select("v", "lists").toPandas()
+    pv = np.stack(pilot["v"].to_list()) if len(pilot) else np.ones((0, dim))
+    in_lists = np.full((len(pv), replicas), len(c))
+    for i, own in enumerate(pilot["lists"]):
+        in_lists[i, : len(own)] = own
+    ahead = spark.sparkContext.broadcast((pv, in_lists))  # about pilot_rows vectors and the lists they stand in
+
+    def in_cells(batches):
+        """A row for each cell that a vector stands in, with its lists there."""
+        first, parts = places.value
+        for batch in batches:
+            held = batch.column("lists").flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("lists").offsets.to_numpy()))
+            cell = first[held] + (batch.column("id").to_numpy()[row] * 2_654_435_761 >> 16) % parts[held]  # ids of one step are spread too
+            yield _rows_of_cells(batch, row, cell, held)
+
+    def probing(batches):
+        """As ``in_cells``, for the lists that a query probes and all their cells; ``floor`` is a score that k + 1 vectors of these lists reach, so no less can count."""
+        c, edges = model.value
+        first, parts = places.value
+        pv, in_lists = ahead.value
+        for batch in batches:
+            flat = batch.column("v").flatten().to_numpy().reshape(-1, dim)
+            for at in range(0, len(flat), 256):
+                part = flat[at : at + 256]
+                row, own = probes(_lifted(part, norm, True), c, edges, probe_ratio, least)
+                floor = np.full(len(part), -np.inf)
+                probed = np.zeros((len(part), len(c) + 1), bool)
+                probed[row, own] = True
+                for low in range(0, len(part) if len(pv) > k else 0, 32):
+                    score = part[low : low + 32] @ pv.T
+                    score[~np.logical_or.reduce([probed[low : low + 32][:, of] for of in in_lists.T])] = -np.inf
+                    floor[low : low + 32] = np.partition(score, len(pv) - k - 1, axis=1)[:, len(pv) - k - 1]
+                own, again = np.repeat(own, parts[own]), np.repeat(np.arange(len(own)), parts[own])
+                nth = np.arange(len(own)) - np.searchsorted(again, again)
+                held = pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, 256) for i in range(batch.num_columns)), pa.array(floor - 1e-9)], names=[*batch.schema.names, "floor"])
+                yield _rows_of_cells(held, row[again], first[own] + nth, own)
+
+    def blocks(df: DataFrame, n: int, name: str, *held: str) -> DataFrame:
+        """The rows of each cell in ``n`` blocks, each an array."""
+        dealt = df.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n)))
+        return dealt.groupBy("cell", "b").agg(F.collect_list(F.struct("id", "v", "lists", *held)).alias(name))
+
+    # every block of queries goes to its cell's rows
+    shape = "cell long, id long, v array<double>, lists array<int>"
+    kept = blocks(postings.select("lists", F.col("rep").alias("id"), "v").mapInArrow(in_cells, shape), 1, "p")
+    asking = blocks(queries.select(F.col("query_id").alias("id"), "v").repartition(tasks).mapInArrow(probing, f"{shape}, floor double"), -(-max(queries.count(), 1) // block), "q", "floor")
+    pairs = asking.select("cell", "q").join(kept.select("cell", "p"), "cell").select("q", "p")
+
+    def out(hits):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in hits], names=["query_id", "rep", "score"])
 
     def scan(batches):
         """Scores of pairs of blocks; a task thins its hits per query before they are shuffled, and never holds more than a bounded number."""
@@ -275,33 +395,23 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, k: in
         rows = 0
 
         def thinned():
-            return best_of(*(np.concatenate(c) for c in zip(*held)))
-
-        def out(hits):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in hits], names=["query_id", "rep", "score"])
+            return _best_of(*(np.concatenate(c) for c in zip(*held)), k)
 
         for batch in batches:
             for q, p in zip(batch.column("q"), batch.column("p")):
-                q, p = q.values, p.values
-                qv, pv = (s.field("v").flatten().to_numpy().reshape(-1, dim) for s in (q, p))
-                qi, pi = (s.field("id").to_numpy() for s in (q, p))
-                rough = qv @ pv.T
-                m = min(len(pi), k + 9)
-                top = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-                floor = np.take_along_axis(rough, top, 1).min(1) - 1e-9
-                row, col = np.nonzero(rough >= floor[:, None])  # with all that tie at the edge
-                held.append(best_of(qi[row], pi[col], (qv[row] * pv[col]).sum(1)))
-                rows += len(held[-1][0])
-                if rows > 1 << 20:
-                    held = [thinned()]
-                    rows = len(held[0][0])
-                    if rows > 1 << 19:  # so many queries: what stands so far goes on
-                        yield out(held[0])
-                        held, rows = [], 0
+                for hits in _scanned(q.values, p.values, dim, k):
+                    held.append(hits)
+                    rows += len(hits[0])
+                    if rows > 1 << 20:
+                        held = [thinned()]
+                        rows = len(held[0][0])
+                        if rows > 1 << 19:  # so many queries: what stands so far goes on
+                            yield out(held[0])
+                            held, rows = [], 0
         if held:
             yield out(thinned())
 
-    hits = pairs.select("q", "p").mapInArrow(scan, "query_id long, rep long, score double").distinct()
+    hits = pairs.mapInArrow(scan, "query_id long, rep long, score double").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     top = hits.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
     members = top.join(reps.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
