@@ -236,3 +236,23 @@ def test_a_supplier_name_without_a_letter_is_like_no_other(spark):
         asked = names[key][:14] + names[key][15:]
         ratios = [difflib.SequenceMatcher(None, asked, name).ratio() for name in names]
         assert ratios.pop(key) == 40 / 41 and max(ratios) < 0.78
+
+
+def test_what_no_state_can_use_does_not_meet_it(spark):
+    from tidemark.operators import graph_retrieval as R
+
+    edges = spark.createDataFrame([(1, 0, 5, n, 1000 * n + r) for n in range(60) for r in range(30)], "node long, kb int, doc long, next long, rel long")
+    kept = {(r.next, r.rel) for r in R._first_edges(edges, ["node", "kb", "doc"], 20, 10).collect()}
+    assert kept == {(n, 1000 * n + r) for n in range(20) for r in range(10)}
+
+
+def test_a_bridge_over_many_members_goes_to_the_first_by_id(spark):
+    from tidemark.operators import graph_retrieval as R
+
+    entities = spark.createDataFrame([(n, 0, 1) for n in range(1, 400)], "id long, kb int, doc long")
+    members = spark.createDataFrame([(n, 1 + n % 2) for n in range(1, 400)] + [(1, 1)], "id long, canonical long")
+    support = spark.createDataFrame([(n, n) for n in range(1, 400)], "owner long, evidence long")
+    nothing = spark.createDataFrame([], "rel long, src long, dst long, kb int, doc long")
+    got = R.walk(spark.createDataFrame([(1,)], "id long"), entities, nothing, members, support, 1)
+    # the start is a member of both, so two of the first 20, and is left out after the cut
+    assert sorted(r.node for r in got.where("hops = 1").collect()) == list(range(2, 20))

@@ -31,7 +31,11 @@ def hop(states: DataFrame, edges: DataFrame, max_neighbors: int = 20, max_relati
     """One hop both ways from states (seed, node, path, hops): per direction the first neighbours by id, of each the first relations; no vertex twice on a path."""
     ways = []
     for way, a, b in (("forward", "src", "dst"), ("reverse", "dst", "src")):
-        step = states.join(edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "rel"), "node")
+        out = edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "rel")
+        # of each node what any state can use, before states meet it
+        first, each = Window.partitionBy("node").orderBy("next"), Window.partitionBy("node", "next").orderBy("rel")
+        out = out.withColumn("nth", F.dense_rank().over(first)).where(F.col("nth") <= max_neighbors).withColumn("m", F.row_number().over(each)).where(F.col("m") <= max_relations).drop("nth", "m")
+        step = states.join(out, "node")
         near = Window.partitionBy("seed", "path").orderBy("next")
         own = Window.partitionBy("seed", "path", "next").orderBy("rel")
         ways.append(step.withColumn("nth", F.dense_rank().over(near)).where(F.col("nth") <= max_neighbors).withColumn("m", F.row_number().over(own)).where(F.col("m") <= max_relations).withColumn("way", F.lit(way)))
