@@ -5,24 +5,12 @@ from __future__ import annotations
 import os
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
 
-from tidemark.sources.tables import shared_dir, table, written
+from tidemark.sources.tables import shared_dir, small_batches, table, written
 
 __all__ = ["open_fs", "shared_dir", "small_batches", "table", "written"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: int = 1 << 24) -> None:
-    """Bounds an Arrow batch by rows and bytes: documents are long, the default of 10,000 rows is not for them.
-
-    Spark has no such setting for one plan, so the session's is lowered; never raised.
-    """
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        own = int(spark.conf.get(name).rstrip("bB"))
-        if own > most or own <= 0:
-            spark.conf.set(name, str(most))
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; a bare path is a local one."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
