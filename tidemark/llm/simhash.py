@@ -27,6 +27,8 @@ from tidemark.llm.common import small_batches, written
 from tidemark.operators.components import components
 
 _HASH = xxhash.xxh64_intdigest
+#: Columns of 64 bits each of ``_parities``.
+PARITIES = [f"odd{i}" for i in range(8)]
 
 
 def _more(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -75,19 +77,27 @@ def _set_id(distinct: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(distinct.tobytes()) - (1 << 63)
 
 
+def _parities(distinct: np.ndarray) -> list[int]:
+    """A set of shingles as bits: 1 if an odd number of them falls on it. Two of them differ in no more bits than the sets in shingles."""
+    odd = np.bincount((distinct % np.uint64(64 * len(PARITIES))).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 3, words: int = 1, sets: bool = False) -> DataFrame:
-    """(doc_id, fp, fp1, ...) of every row, each fp a signed long of 64 bits. A null text has no words. ``sets`` adds node, which tells its set of shingles, and size."""
+    """(doc_id, fp, fp1, ...) of every row, each fp a signed long of 64 bits. A null text has no words. ``sets`` adds node, which tells its set of shingles, size and ``PARITIES``."""
     small_batches(spark)
     names = _names(words)
 
+    told = ["doc_id", *names, "node", "size", *PARITIES]
+
     def run_sets(batches):
         for batch in batches:
             rows = []
             for t in batch.column(1):
                 raw = t.as_py()
                 own = np.unique(shingles(raw, shingle))
-                rows.append((*fingerprint(raw, shingle, words=words).view(np.int64).tolist(), _set_id(own), len(own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (words + 2)))], names=["doc_id", *names, "node", "size"])
+                rows.append((*fingerprint(raw, shingle, words=words).view(np.int64).tolist(), _set_id(own), len(own), *_parities(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (len(told) - 1)))], names=told)
 
     def run(batches):
         for batch in batches:
@@ -95,7 +105,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 3, words:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(words))], names=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in [*names, *(("node", "size") if sets else ())])])
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in (told[1:] if sets else names))])
     return docs.select("doc_id", "text").mapInArrow(run_sets if sets else run, schema)
 
 
@@ -376,24 +386,29 @@ def _shared(batches):
 
 
 def left_out(spark: SparkSession, docs: DataFrame, roots: DataFrame, shingle: int, least: float, sample_rows: int = 20_000) -> DataFrame:
-    """(a, b): candidates between nodes of different roots, among them every pair of sets (roots: node, size, root) of Jaccard similarity ``least`` or more.
+    """(a, b): candidates between nodes of different roots, among them every pair of sets (roots: node, size, root, ``PARITIES``) of Jaccard similarity ``least`` or more.
 
     Prefix filter: shingles in one order, rare ones first; if two sets share
     c shingles, their first size - c + d share d. Only shingles that several
     sets have there are looked at further, so what fingerprints have linked already costs nothing.
+    Sets that meet are told apart by their parities, so that those with a passage in common,
+    and copies that are not near enough, give no rows.
     """
     small_batches(spark)
     common = _common_shingles(spark, docs, shingle, sample_rows)
     rows = docs.select("text").mapInArrow(_prefix_rows(least, shingle, common), "token long, node long")
     shared = rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long")
-    told = written(spark, shared.join(roots, "node"), "prefixes")
+    told = written(spark, shared.join(roots.select("node", "size", "root"), "node"), "prefixes")
     # Of a token most rows are often of one group: its rows are not tried against each other, only the others against all.
     by_root = told.groupBy("token", "root").agg(F.count("*").alias("n"))
     most = by_root.groupBy("token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    apart = written(spark, told.join(most, "token"), "prefixes-apart")
-    a = apart.where("root <> main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("na"))
-    b = apart.select("token", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("nb"), (F.col("root") == F.col("main")).alias("main"))
-    pairs = a.join(b, "token").where("rx <> ry AND (main OR x < y)").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    apart = written(spark, told.join(most, "token").join(roots.select("node", *PARITIES), "node"), "prefixes-apart")
+    a = apart.where("root <> main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("na"), *[F.col(c).alias(f"x{c}") for c in PARITIES])
+    b = apart.select("token", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("nb"), (F.col("root") == F.col("main")).alias("main"), *[F.col(c).alias(f"y{c}") for c in PARITIES])
+    sizes = F.col("na") + F.col("nb")
+    apart_bits = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in PARITIES), F.lit(0))
+    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (apart_bits <= sizes - 2 * F.ceil(sizes * (least / (1 + least)) - 1e-9))
+    pairs = a.join(b, "token").where("rx <> ry AND (main OR x < y)").where(near)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))
     depth = F.floor(F.least("na", "nb") / 25) + 1
     return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") >= depth).select("a", "b")
@@ -438,9 +453,9 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, least
     """
     names = _names(words)
     own = written(spark, fingerprints(spark, docs, shingle, words, sets=True), "fingerprints")
-    grouped = own.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), F.min(F.struct(*names)).alias("fps"))
+    grouped = own.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), F.min(F.struct(*names, *PARITIES)).alias("fps"))
     distinct = written(spark, grouped.select("node", "least_id", "size", "fps.*"), "distinct")
-    found = written(spark, links(spark, distinct.drop("least_id", "size"), parts - 1, words=words, steps=steps, parts=parts, verified=verified), "candidates")
+    found = written(spark, links(spark, distinct.drop("least_id", "size", *PARITIES), parts - 1, words=words, steps=steps, parts=parts, verified=verified), "candidates")
 
     def verified_links(found: DataFrame) -> DataFrame:
         ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
@@ -450,11 +465,11 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, least
 
     def rooted(near: DataFrame) -> DataFrame:
         nodes = components(spark, written(spark, contracted(contracted(near)), "contracted"))
-        return distinct.join(nodes, "node", "left").select("node", "size", "least_id", F.coalesce("root", "node").alias("root"))
+        return distinct.join(nodes, "node", "left").select("node", "size", "least_id", F.coalesce("root", "node").alias("root"), *PARITIES)
 
     near = verified_links(found)
     if exact:
-        rest = written(spark, left_out(spark, docs, written(spark, rooted(near).select("node", "size", "root"), "roots"), shingle, least), "left-out")
+        rest = written(spark, left_out(spark, docs, written(spark, rooted(near).drop("least_id"), "roots"), shingle, least), "left-out")
         near = near.unionByName(verified_links(rest))
     groups = rooted(near)
     component = groups.groupBy("root").agg(F.min("least_id").alias("component_id"))
