@@ -1,7 +1,6 @@
 """What plans must not hold, as it grows faster than their input."""
 
-
-from tidemark.operators import graph_retrieval
+from tidemark.operators import evaluation, graph_retrieval
 
 
 def _plan(df):
@@ -14,3 +13,10 @@ def test_merged_entities_are_not_expanded(spark):
     found = graph_retrieval.merge_entities(rows)
     assert {r.id: r.conflict for r in found.collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
     assert "Expand" not in _plan(found)
+
+
+def test_leakage_groups_broadcast_nothing(spark):
+    items, signatures = spark.range(50).withColumnRenamed("id", "item"), spark.createDataFrame([(i, i // 3) for i in range(0, 30, 2)], "item long, signature long")
+    found = evaluation.leakage_groups(spark, items, signatures)
+    assert {r.item: r.group for r in found.collect()} == {i: {2: 0, 8: 6, 14: 12, 20: 18, 26: 24}.get(i, i) for i in range(50)}
+    assert "Broadcast" not in _plan(found)
