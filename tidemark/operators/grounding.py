@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.text import linking_label
-from tidemark.sources.tables import written
+from tidemark.sources.tables import small_batches, written
 
 # Why something is not taken.
 NOT_GROUNDED, NO_ENDPOINT, NO_EVIDENCE, NO_SOURCE, NO_TARGET, DUPLICATE = "entity_mention_not_grounded", "relation_endpoint_not_in_output", "relation_evidence_not_in_chunk", "relation_source_not_grounded", "relation_target_not_grounded", "duplicate"
@@ -26,6 +26,7 @@ def grounded_entities(spark: SparkSession, entities: DataFrame, chunks: DataFram
 
     Every alias has to stand in the chunk, and so has the name unless an alias does. Blank names and aliases are none; an entity of an unknown chunk is not grounded.
     """
+    small_batches(spark)  # labels of whole texts in Python
     own = entities.select("chunk", "name", "kind", linking_label("name").alias("key"), F.coalesce("aliases", F.array().cast(_NONE)).alias("aliases")).where("key <> ''")
     first = own.groupBy("chunk", "key", "kind").agg(F.min("name").alias("name"), F.count("*").alias("n"))
     each = own.select("chunk", "key", "kind", F.explode("aliases").alias("alias")).select("chunk", "key", "kind", linking_label("alias").alias("alias")).where("alias <> '' AND alias <> key").distinct()
@@ -43,6 +44,7 @@ def grounded_relations(spark: SparkSession, relations: DataFrame, entities: Data
     An end is a label that exactly one taken entity of the chunk has. The evidence has to stand in the chunk, and a mention of either end in the evidence. Of
     relations that lead to the same entities the first by labels is taken.
     """
+    small_batches(spark)
     taken = written(spark, entities.where("reason IS NULL").select("chunk", F.concat_ws("|", "key", "kind").alias("id"), F.array_distinct(F.concat(F.array("key"), "aliases")).alias("mentions")), "entities")
     ends = taken.select("chunk", "id", "mentions", F.explode("mentions").alias("label")).groupBy("chunk", "label").agg(F.count("*").alias("n"), F.min(F.struct("id", "mentions")).alias("e")).where("n = 1")
     own = relations.withColumn("s", linking_label("source")).withColumn("t", linking_label("target")).withColumn("_e", linking_label("evidence"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.retrieval import B, K1
-from tidemark.sources.tables import written
+from tidemark.sources.tables import small_batches, written
 
 
 class BranchError(RuntimeError):
@@ -32,6 +32,7 @@ def scoped_bm25(docs: DataFrame, queries: DataFrame, tokens: Callable[[Column],
     The index is written once; hot terms are summed before they are shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)  # tokens of whole texts in Python
     index = written(spark, docs.select("kb", "doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("kb", "doc_id", "term").agg(F.count("*").alias("tf")), "scoped-postings")
     terms = queries.select("query_id", "kb", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     lengths = index.groupBy("kb", "doc_id").agg(F.sum("tf").alias("len"))
