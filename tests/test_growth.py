@@ -1,6 +1,6 @@
 """What plans must not hold, as it grows faster than their input."""
 
-from tidemark.operators import evaluation, graph_retrieval
+from tidemark.operators import evaluation, graph_retrieval, grounding
 
 
 def _plan(df):
@@ -20,3 +20,12 @@ def test_leakage_groups_broadcast_nothing(spark):
     found = evaluation.leakage_groups(spark, items, signatures)
     assert {r.item: r.group for r in found.collect()} == {i: {2: 0, 8: 6, 14: 12, 20: 18, 26: 24}.get(i, i) for i in range(50)}
     assert "Broadcast" not in _plan(found)
+
+
+def test_grounding_runs_little_python_at_a_time(spark):
+    entities = spark.createDataFrame([(1, "Ann", "A", ["AN"]), (1, "Bo", "A", None), (2, " ", "A", [])], "chunk int, name string, kind string, aliases array<string>")
+    chunks = spark.createDataFrame([(1, "An and  BO"), (2, "x")], "chunk int, text string")
+    found = grounding.grounded_entities(spark, entities, chunks)
+    assert {r.key: (r.aliases, r.reason) for r in found.collect()} == {"ann": (["an"], None), "bo": ([], None)}
+    assert _plan(found).split("Initial Plan")[0].count("ArrowEvalPython") <= 2  # each is a process in every task
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024

@@ -21,6 +21,11 @@ def _in(part: Column, whole: Column) -> Column:
     return F.coalesce(F.contains(whole, part), F.lit(False))
 
 
+def _labelled(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """chunk, _t: the label of each text, made once, so that what joins it runs no Python beside it."""
+    return written(spark, chunks.select("chunk", linking_label("text").alias("_t")), "labels")
+
+
 def grounded_entities(spark: SparkSession, entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """chunk, key, kind, name, aliases (labels, sorted), n, reason: entities of one label and kind as one (n of them).
 
@@ -28,9 +33,10 @@ def grounded_entities(spark: SparkSession, entities: DataFrame, chunks: DataFram
     """
     small_batches(spark)  # labels of whole texts in Python
     own = entities.select("chunk", "name", "kind", linking_label("name").alias("key"), F.coalesce("aliases", F.array().cast(_NONE)).alias("aliases")).where("key <> ''")
+    own = written(spark, own, "named")
     first = own.groupBy("chunk", "key", "kind").agg(F.min("name").alias("name"), F.count("*").alias("n"))
     each = own.select("chunk", "key", "kind", F.explode("aliases").alias("alias")).select("chunk", "key", "kind", linking_label("alias").alias("alias")).where("alias <> '' AND alias <> key").distinct()
-    texts = chunks.select("chunk", linking_label("text").alias("_t"))
+    texts = _labelled(spark, chunks)
     told = each.join(texts, "chunk", "left").groupBy("chunk", "key", "kind").agg(F.array_sort(F.collect_list("alias")).alias("aliases"), F.bool_and(_in(F.col("alias"), F.col("_t"))).alias("_all"))
     both = first.join(told, ["chunk", "key", "kind"], "left").join(texts, "chunk", "left")
     some = F.col("aliases").isNotNull()
@@ -48,9 +54,10 @@ def grounded_relations(spark: SparkSession, relations: DataFrame, entities: Data
     taken = written(spark, entities.where("reason IS NULL").select("chunk", F.concat_ws("|", "key", "kind").alias("id"), F.array_distinct(F.concat(F.array("key"), "aliases")).alias("mentions")), "entities")
     ends = taken.select("chunk", "id", "mentions", F.explode("mentions").alias("label")).groupBy("chunk", "label").agg(F.count("*").alias("n"), F.min(F.struct("id", "mentions")).alias("e")).where("n = 1")
     own = relations.withColumn("s", linking_label("source")).withColumn("t", linking_label("target")).withColumn("_e", linking_label("evidence"))
+    own = written(spark, own, "relations")
     one = own.groupBy("chunk", "s", "t", "kind").agg(F.min(F.struct("source", "target", "evidence", "_e")).alias("r"), F.count("*").alias("n"))
     side = lambda c: ends.select("chunk", F.col("label").alias(c), F.col("e.id").alias(f"{c}_id"), F.col("e.mentions").alias(f"{c}_mentions"))
-    both = one.join(side("s"), ["chunk", "s"], "left").join(side("t"), ["chunk", "t"], "left").join(chunks.select("chunk", linking_label("text").alias("_t")), "chunk", "left")
+    both = one.join(side("s"), ["chunk", "s"], "left").join(side("t"), ["chunk", "t"], "left").join(_labelled(spark, chunks), "chunk", "left")
     says = lambda c: F.exists(f"{c}_mentions", lambda m: _in(m, F.col("r._e")))
     reason = F.when(F.col("s_id").isNull() | F.col("t_id").isNull(), NO_ENDPOINT).when(~_in(F.col("r._e"), F.col("_t")), NO_EVIDENCE).when(~says("s"), NO_SOURCE).when(~says("t"), NO_TARGET)
     told = both.withColumn("reason", reason)
