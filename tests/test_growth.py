@@ -1,6 +1,6 @@
 """What plans must not hold, as it grows faster than their input."""
 
-from tidemark.operators import evaluation, graph_retrieval, grounding
+from tidemark.operators import evaluation, graph_retrieval, grounding, similarity
 
 
 def _plan(df):
@@ -29,3 +29,10 @@ def test_grounding_runs_little_python_at_a_time(spark):
     assert {r.key: (r.aliases, r.reason) for r in found.collect()} == {"ann": (["an"], None), "bo": ([], None)}
     assert _plan(found).split("Initial Plan")[0].count("ArrowEvalPython") <= 2  # each is a process in every task
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+
+
+def test_copies_do_not_meet_by_text(spark):
+    df = spark.createDataFrame([(3, "b"), (1, "a"), (2, "b"), (4, None)], "k long, v string")
+    _, rows = similarity.classes(df, "k", "v")
+    joins = [line for line in _plan(rows).splitlines() if "Join [" in line]
+    assert joins and not any("[v#" in line for line in joins)
