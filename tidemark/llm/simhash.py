@@ -21,14 +21,15 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.llm.common import small_batches, written
 from tidemark.operators.components import components
 
 _HASH = xxhash.xxh64_intdigest
-#: Columns of 64 bits each of ``_parities``.
-PARITIES = [f"odd{i}" for i in range(8)]
+#: The column of ``_parities``, and the bits that a set has of them at least and at most.
+PARITIES = ["odd"]
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 
 
 def _more(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -77,10 +78,23 @@ def _set_id(distinct: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(distinct.tobytes()) - (1 << 63)
 
 
-def _parities(distinct: np.ndarray) -> list[int]:
-    """A set of shingles as bits: 1 if an odd number of them falls on it. Two of them differ in no more bits than the sets in shingles."""
-    odd = np.bincount((distinct % np.uint64(64 * len(PARITIES))).astype(np.int64), minlength=64 * len(PARITIES)) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+def _parities(distinct: np.ndarray) -> np.ndarray:
+    """A set of shingles as bits: 1 if an odd number of them falls on it. Two of them differ in no more bits than the sets in shingles.
+
+    Two to four bits a shingle, a power of two; more than ``MOST_BITS`` would make long rows, so longer sets are told apart less well.
+    """
+    bits = min(max(LEAST_BITS, 2 << (len(distinct) - 1).bit_length()), MOST_BITS) if len(distinct) else LEAST_BITS
+    odd = np.bincount((distinct % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _bits_apart(x: Column, y: Column) -> Column:
+    """In how many bits two columns of ``_parities`` differ, of which one is at most twice as long: its halves fall together."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    half = lambda c: (F.size(c) / 2).cast("int")
+    folded = lambda c: F.zip_with(F.slice(c, F.lit(1), half(c)), F.slice(c, half(c) + 1, half(c)), xor)
+    fit = lambda c, other: F.when(F.size(c) > F.size(other), folded(c)).otherwise(c)
+    return F.aggregate(F.zip_with(fit(x, y), fit(y, x), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda n, b: n + b)
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 3, words: int = 1, sets: bool = False) -> DataFrame:
@@ -96,8 +110,9 @@ def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 3, words:
             for t in batch.column(1):
                 raw = t.as_py()
                 own = np.unique(shingles(raw, shingle))
-                rows.append((*fingerprint(raw, shingle, words=words).view(np.int64).tolist(), _set_id(own), len(own), *_parities(own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (len(told) - 1)))], names=told)
+                rows.append((*fingerprint(raw, shingle, words=words).view(np.int64).tolist(), _set_id(own), len(own), _parities(own)))
+            columns = list(zip(*rows)) if rows else [[]] * (len(told) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.list_(pa.int64()))], names=told)
 
     def run(batches):
         for batch in batches:
@@ -105,7 +120,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 3, words:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(words))], names=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in (told[1:] if sets else names))])
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.ArrayType(T.LongType()) if c in PARITIES else T.LongType()) for c in (told[1:] if sets else names))])
     return docs.select("doc_id", "text").mapInArrow(run_sets if sets else run, schema)
 
 
@@ -391,27 +406,32 @@ def left_out(spark: SparkSession, docs: DataFrame, roots: DataFrame, shingle: in
     Prefix filter: shingles in one order, rare ones first; if two sets share
     c shingles, their first size - c + d share d. Only shingles that several
     sets have there are looked at further, so what fingerprints have linked already costs nothing.
-    Sets that meet are told apart by their parities, so that those with a passage in common,
-    and copies that are not near enough, give no rows.
+    Shingles that the same sets have there count as one of their number, so a long passage
+    brings its sets together once. Sets that meet are told apart by their parities, so that
+    those with a passage in common, and copies that are not near enough, give no rows.
     """
     small_batches(spark)
     common = _common_shingles(spark, docs, shingle, sample_rows)
     rows = docs.select("text").mapInArrow(_prefix_rows(least, shingle, common), "token long, node long")
     shared = rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long")
     told = written(spark, shared.join(roots.select("node", "size", "root"), "node"), "prefixes")
-    # Of a token most rows are often of one group: its rows are not tried against each other, only the others against all.
-    by_root = told.groupBy("token", "root").agg(F.count("*").alias("n"))
-    most = by_root.groupBy("token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    apart = written(spark, told.join(most, "token").join(roots.select("node", *PARITIES), "node"), "prefixes-apart")
-    a = apart.where("root <> main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("na"), *[F.col(c).alias(f"x{c}") for c in PARITIES])
-    b = apart.select("token", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("nb"), (F.col("root") == F.col("main")).alias("main"), *[F.col(c).alias(f"y{c}") for c in PARITIES])
+    # The sets of a token by two hashes of them all: tokens of the same sets are one of their number.
+    same = ["sets", "sets2"]
+    of_token = told.groupBy("token").agg(F.bit_xor(F.xxhash64("node")).alias("sets"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("sets2"), F.min("root").alias("r"), F.max("root").alias("r2")).where("r < r2").select("token", *same)
+    met = written(spark, told.join(of_token, "token").groupBy(*same, "node", "size", "root").agg(F.count("*").alias("tokens")), "prefixes-met")
+    # Of those sets most are often of one group: they are not tried against each other, only the others against all.
+    by_root = met.groupBy(*same, "root").agg(F.count("*").alias("n"))
+    most = by_root.groupBy(*same).agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    apart = written(spark, met.join(most, same).join(roots.select("node", *PARITIES), "node"), "prefixes-apart")
+    a = apart.where("root <> main").select(*same, "tokens", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("na"), F.col("odd").alias("xodd"))
+    b = apart.select(*same, F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("nb"), (F.col("root") == F.col("main")).alias("main"), F.col("odd").alias("yodd"))
     sizes = F.col("na") + F.col("nb")
-    apart_bits = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in PARITIES), F.lit(0))
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (apart_bits <= sizes - 2 * F.ceil(sizes * (least / (1 + least)) - 1e-9))
-    pairs = a.join(b, "token").where("rx <> ry AND (main OR x < y)").where(near)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))
+    alike = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
+    near = F.when(alike, _bits_apart(F.col("xodd"), F.col("yodd")) <= sizes - 2 * F.ceil(sizes * (least / (1 + least)) - 1e-9)).otherwise(F.lit(False))
+    pairs = a.join(b, same).where("rx <> ry AND (main OR x < y)").where(near)
+    pairs = pairs.select("tokens", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))
     depth = F.floor(F.least("na", "nb") / 25) + 1
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") >= depth).select("a", "b")
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.sum("tokens").alias("n")).where(F.col("n") >= depth).select("a", "b")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
