@@ -36,3 +36,12 @@ def test_copies_do_not_meet_by_text(spark):
     _, rows = similarity.classes(df, "k", "v")
     joins = [line for line in _plan(rows).splitlines() if "Join [" in line]
     assert joins and not any("[v#" in line for line in joins)
+
+
+def test_unified_retrieval_writes_no_matched_terms(spark, sf, monkeypatch):
+    from tidemark.plans import searches
+
+    kept, real = {}, searches.written
+    monkeypatch.setattr(searches, "written", lambda spark, df, what: kept.setdefault(what, df.columns) and real(spark, df, what))
+    searches.unified_retrieval(spark, sf)
+    assert kept["sparse"] == ["query_id", "rank", "doc_id", "score"]

@@ -233,7 +233,8 @@ def unified_retrieval(spark, sf_dir):
     from tidemark.plans.catalog import _bm25, _dense
 
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    sparse, dense = written(spark, _bm25(spark, sf_dir, 20), "sparse"), written(spark, _dense(spark, sf_dir, 40), "dense")
+    found = _bm25(spark, sf_dir, 20).select("query_id", "rank", "doc_id", "score")  # the matched terms of all pairs would be collected to be written
+    sparse, dense = written(spark, found, "sparse"), written(spark, _dense(spark, sf_dir, 40), "dense")
     top = sparse.where("rank = 1").select("query_id", "doc_id").join(docs.select("doc_id", "source", "lang"), "doc_id").select("query_id", "source", "lang")
     near = top.join(docs.select("doc_id", "source", "lang"), ["source", "lang"]).select("query_id", "doc_id")
     graph = retrieval.top(near, "query_id", [F.asc("doc_id")], 20)
