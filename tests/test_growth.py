@@ -45,3 +45,12 @@ def test_unified_retrieval_writes_no_matched_terms(spark, sf, monkeypatch):
     monkeypatch.setattr(searches, "written", lambda spark, df, what: kept.setdefault(what, df.columns) and real(spark, df, what))
     searches.unified_retrieval(spark, sf)
     assert kept["sparse"] == ["query_id", "rank", "doc_id", "score"]
+
+
+def test_two_blocks_of_co_members_meet_from_one_side_each(spark):
+    members = spark.createDataFrame([(None if i == 7 else i, i % 2) for i in range(60)], "id long, canonical long")
+    found = graph_retrieval.co_members(members, 4)
+    want = {(i, j, i % 2) for j in range(60) for i in range(j) if i % 2 == j % 2 and 7 not in (i, j)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "sequence(0, (n" not in _plan(found)  # all blocks on both sides
