@@ -1,5 +1,7 @@
 """What plans must not hold, as it grows faster than their input."""
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import evaluation, graph_retrieval, grounding, similarity
 
 
@@ -54,3 +56,17 @@ def test_two_blocks_of_co_members_meet_from_one_side_each(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "sequence(0, (n" not in _plan(found)  # all blocks on both sides
+
+
+def test_like_sets_are_not_sent_with_each_of_their_pairs(spark):
+    sets = spark.range(100).select("id", F.transform(F.sequence(F.col("id"), F.col("id") + 2000), lambda t: t.cast("string")).alias("tokens"))
+    told = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = told()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables at size are
+    try:
+        found = {(r.a, r.b): r.similarity for r in similarity.jaccard_join(spark, sets, 0.9).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert found == {(a, b): (2001 - b + a) / (2001 + b - a) for a in range(100) for b in range(a + 1, 100)}
+    assert told() - before < 16 << 20  # a set has 16 kB, the pairs 79 MB of them
