@@ -21,7 +21,7 @@ lk AS (SELECT a, b, similarity FROM sm WHERE similarity >= 0.8)"""
 
 def _similar(spark, sf_dir):
     held, rows = S.classes(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return S.jaccard_join(spark, held.select("id", S.word_shingles(F.col("value"), 5).alias("tokens")), 0.8), rows
+    return S.jaccard_join(spark, S.word_shingle_sets(held.withColumnRenamed("value", "text"), 5), 0.8, rare=True), rows
 
 
 @query(f"WITH {_SHINGLES} SELECT a, b, round(similarity, 6) AS similarity FROM lk")
